@@ -24,6 +24,7 @@ as often as they occur; they stand next to each other.  A null id comes first.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from functools import lru_cache
 
@@ -35,10 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import new_folder, small_batches
-from .pretokens import pieces
+from .pretokens import Memo, pieces
+from .token_counts import byte_alphabet
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
-MOST_PIECES = 300_000
+MOST_PIECES = 600_000
 #: Ids that the rolling hash sees; shortest, usual and longest chunk in ids.
 REACH, SHORTEST, USUAL, LONGEST = 16, 64, 256, 1024
 BLOCK = 1024
@@ -46,35 +48,36 @@ _CHUNK, _RECIPE = "chunk", "recipe"
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, each distinct piece encoded once and remembered."""
+    """Ids by the BPE model of the tokenizers library, each piece encoded once and remembered.
 
-    def __init__(self, path: str):
-        import re
+    Texts are split at added tokens and then into pieces, as the library itself does
+    before any merge, so the ids of a text are those of its pieces.
+    """
 
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        library = Tokenizer.from_file(path)
+        self.model = library.model
+        self.width = 2 if library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.of_piece: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes.
-
-        Texts are split at added tokens and then into pieces, as the library
-        itself does before any merge, so the ids of a text are those of its pieces.
-        """
-        split = [[p for part in self.added.split(text) for p in ((part,) if self.added.fullmatch(part) else pieces(part))] if self.added else pieces(text) for text in texts]
-        new = set().union(*split) - self.of_piece.keys()
-        if len(self.of_piece) + len(new) > MOST_PIECES:
-            self.of_piece.clear()
-            new = set().union(*split)
-        new = list(new)
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.of_piece[piece] = np.array(found.ids, self.kind).tobytes()
-        return [b"".join(map(self.of_piece.__getitem__, parts)) for parts in split]
+        self.added = {token.content: np.array([i], self.kind).tobytes() for i, token in library.get_added_tokens_decoder().items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        self.of_piece = Memo(self._encode, MOST_PIECES)
+
+    def _encode(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
+        return np.array([token.id for token in tokens], self.kind).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as bytes."""
+        of = self.of_piece.__getitem__
+        if self.split is None or self.split.search(text) is None:
+            return b"".join(map(of, pieces(text)))
+        parts = self.split.split(text)
+        return b"".join(self.added[part] if k % 2 else b"".join(map(of, pieces(part))) for k, part in enumerate(parts))
 
 
 def rolling_hash(ids: np.ndarray) -> np.ndarray:
@@ -89,12 +92,20 @@ def rolling_hash(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a stream."""
-    ends, start, n = [], 0, len(ids)
-    with np.errstate(over="ignore"):
-        marks = np.flatnonzero((rolling_hash(ids) >> np.uint64(40)) % np.uint64(USUAL - SHORTEST) == 0) + 1
-    for end in marks.tolist():
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end.
+
+    Those within ``REACH`` ids of a stream's start depend on what stands before it;
+    as chunks are no shorter than ``SHORTEST``, they are never used, so the streams of
+    many documents can be hashed in one go.
+    """
+    return np.flatnonzero((rolling_hash(ids) >> np.uint64(40)) % np.uint64(USUAL - SHORTEST) == 0) + 1
+
+
+def cuts(ends_allowed: list[int], start: int, stop: int) -> list[int]:
+    """Ends of the chunks of the stream from ``start`` to ``stop``."""
+    ends = []
+    for end in ends_allowed:
         if end - start < SHORTEST:
             continue
         while end - start > LONGEST:
@@ -103,51 +114,45 @@ def cuts(ids: np.ndarray) -> list[int]:
         if end - start >= SHORTEST:
             ends.append(end)
             start = end
-    while n - start > LONGEST:
+    while stop - start > LONGEST:
         start += LONGEST
         ends.append(start)
-    return ends + [n] if start < n else ends
+    return ends + [stop] if start < stop else ends
 
 
 def name_of(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-@lru_cache(maxsize=4096)
-def _zeros_operator(n: int) -> tuple[int, ...]:
-    """What ``n`` zero bytes do to each of the 32 bits of a crc32 state."""
-    one = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
-
-    def apply(op, value):
-        out, k = 0, 0
-        while value:
-            if value & 1:
-                out ^= op[k]
-            value >>= 1
-            k += 1
-        return out
-
-    result, step, bits = [1 << k for k in range(32)], one, 8 * n
-    while bits:
-        if bits & 1:
-            result = [apply(step, column) for column in result]
-        step = [apply(step, column) for column in step]
-        bits >>= 1
-    return tuple(result)
-
-
-def join_crc32(first: int, second: int, second_bytes: int) -> int:
-    """The crc32 of two byte strings joined, from theirs."""
-    out, k = second, 0
-    op = _zeros_operator(second_bytes)
-    while first:
-        if first & 1:
-            out ^= op[k]
-        first >>= 1
-        k += 1
+@lru_cache(maxsize=64)
+def _zero_bytes(k: int) -> np.ndarray:
+    """What 2**k zero bytes do to a crc32, as tables for each of its 4 bytes."""
+    if k == 0:
+        state = np.arange(256, dtype=np.uint32)
+        for _ in range(8):
+            state = (state >> np.uint32(1)) ^ (np.uint32(0xEDB88320) * (state & np.uint32(1)))
+        return np.stack([state] + [np.arange(256, dtype=np.uint32) << np.uint32(8 * (b - 1)) for b in range(1, 4)])
+    half = _zero_bytes(k - 1)
+    each = np.stack([np.arange(256, dtype=np.uint32) << np.uint32(8 * b) for b in range(4)])
+    return _through(half, _through(half, each))
+
+
+def _through(tables: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(crc)
+    for b in range(4):
+        out ^= tables[b][(crc >> np.uint32(8 * b)) & np.uint32(255)]
     return out
 
 
+def followed_by(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """What each crc32 adds to that of its string with ``n_bytes`` more bytes behind it."""
+    crc = crc.astype(np.uint32)
+    for k in range(int(n_bytes.max(initial=0)).bit_length()):
+        here = (n_bytes >> k) & 1 == 1
+        crc[here] = _through(_zero_bytes(k), crc[here])
+    return crc
+
+
 def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> str:
     """Write the store of ``docs`` to ``folder``."""
     spark = docs.sparkSession
@@ -158,23 +163,29 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: in
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = LibraryEncoder(public_tokenizers.path(vocabulary))
-        end = np.array([end_id], encoder.kind).tobytes()
+        end, width = np.array([end_id], encoder.kind).tobytes(), encoder.width
         names = ["kind", "name", "data", "n_ids", "doc_id"]
         kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         for batch in batches:
-            keys, rows, seen = batch.column(0).to_pylist(), [], set()
-            for key, data in zip(keys, encoder.encode([value or "" for value in batch.column(1).to_pylist()])):
-                ids = np.frombuffer(data + end, encoder.kind)
-                recipe, start = [], 0
-                for stop in cuts(ids):
-                    part = ids[start:stop].tobytes()
+            rows, seen = [], set()
+            streams = [encoder.encode(value or "") + end for value in batch.column(1).to_pylist()]
+            whole = b"".join(streams)
+            allowed = marks(np.frombuffer(whole, encoder.kind))
+            start = 0
+            for key, stream in zip(batch.column(0).to_pylist(), streams):
+                stop = start + len(stream) // width
+                first, last = np.searchsorted(allowed, (start, stop), "right")
+                recipe, at = [], start
+                for cut in cuts(allowed[first:last].tolist(), start, stop):
+                    part = whole[at * width : cut * width]
                     name = name_of(part)
                     recipe.append(name)
                     if name not in seen:
                         seen.add(name)
-                        rows.append((_CHUNK, name, part, stop - start, None))
-                    start = stop
-                rows.append((_RECIPE, name_of(repr(key).encode() + b"".join(recipe)), b"".join(recipe), len(ids), key))
+                        rows.append((_CHUNK, name, part, cut - at, None))
+                    at = cut
+                rows.append((_RECIPE, name_of(repr(key).encode() + b"".join(recipe)), b"".join(recipe), stop - start, key))
+                start = stop
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -244,10 +255,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             names, data, counts = (batch.column(i).to_pylist() for i in range(3))
             crc = []
-            for name, part, n in zip(names, data, counts):
-                if name_of(part) != name:
-                    raise ValueError(f"chunk {name.hex()} was altered")
-                crc.append(zlib.crc32(np.frombuffer(part, f"<u{len(part) // n}").astype("<u4").tobytes()))
+            if names:
+                width = len(data[0]) // counts[0]
+                wide = memoryview(np.frombuffer(b"".join(data), f"<u{width}").astype("<u4")).cast("B")
+                at = 0
+                for name, part, n in zip(names, data, counts):
+                    if name_of(part) != name:
+                        raise ValueError(f"chunk {name.hex()} was altered")
+                    crc.append(zlib.crc32(wide[at : at + 4 * n]))
+                    at += 4 * n
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), batch.column(2)], ["name", "crc", "n_ids"])
 
     chunks = _objects(spark, folder).where(F.col("kind") == _CHUNK).select("name", "data", "n_ids").mapInArrow(sums, "name binary, crc bigint, n_ids bigint")
@@ -258,15 +274,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     @F.arrow_udf(T.LongType())
     def joined(lists: pa.Array) -> pa.Array:
-        out = []
-        for steps in lists.to_pylist():
-            crc = 0
-            for step in steps:
-                if step["crc"] < 0:
-                    raise ValueError("a chunk is missing")
-                crc = join_crc32(crc, step["crc"], 4 * step["n_ids"])
-            out.append(crc)
-        return pa.array(out, pa.int64())
+        sizes = lists.value_lengths().to_numpy()
+        _, crc, n_ids = (column.to_numpy(zero_copy_only=False) for column in lists.flatten().flatten())
+        if (crc < 0).any():
+            raise ValueError("a chunk is missing")
+        ends = np.cumsum(sizes)
+        until = np.cumsum(4 * n_ids)
+        behind = np.repeat(until[ends - 1], sizes) - until
+        out = np.bitwise_xor.reduceat(followed_by(crc, behind), ends - sizes) if len(crc) else np.zeros(0, np.uint32)
+        return pa.array(out.astype(np.int64))
 
     return listed.select("doc_id", "start", "n_tokens", joined("steps").alias("ids_crc32"))
 
