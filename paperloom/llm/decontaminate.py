@@ -53,6 +53,11 @@ def _at(column: str, i: Column, n: int) -> list[Column]:
     return [F.get(F.col(column), i + k) for k in range(n)]
 
 
+def _grams(size: int) -> Column:
+    """Hashes of the ``size`` words at each place."""
+    return F.transform(_upto(F.col("n_words") - size), lambda i: F.xxhash64(F.lit(size), *_at("_h", i, size)))
+
+
 def with_fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
     """Adds ``words``, ``n_words``, and by window length the fingerprint of the
     window at each place: ``f{WINDOW}``, and ``f1`` to ``f9`` for those in ``short``."""
@@ -65,7 +70,7 @@ def with_fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
         .withColumn(f"f{WINDOW}", F.transform(_upto(n - WINDOW), lambda i: F.least(*_at("_g", i, WINDOW - GRAM + 1))))
     )
     for size in short:
-        out = out.withColumn(f"f{size}", F.transform(_upto(n - size), lambda i, s=size: F.xxhash64(F.lit(s), *_at("_h", i, s))))
+        out = out.withColumn(f"f{size}", _grams(size))
     return out.drop("_h", "_g")
 
 
