@@ -31,10 +31,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A character of which bytes were cut goes as a whole.
     """
-    cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS))
-    text = F.when(F.col("n_removed") > 0, F.decode(F.col("kept"), F.lit("UTF-8"))).otherwise(F.col("text"))
-    left = cut.where((F.col("n_removed") == 0) | (F.octet_length("kept") > 0))
-    return left.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
+    cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True)
+    left = cut.where((F.col("n_removed") == 0) | (F.col("kept") != ""))
+    return left.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -311,12 +311,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
 
 
-_CUT = (
-    T.StructType().add("n_bytes", T.LongType()).add("n_removed", T.LongType()).add("n_spans", T.LongType())
-    .add("kept", T.BinaryType()).add("kept_sha256", T.StringType())
-)
-
-
 def removed_runs(spans) -> list[tuple[int, int]]:
     """Maximal runs of removed bytes from sorted ranges of starts of repeated windows."""
     out: list[list[int]] = []
@@ -329,25 +323,35 @@ def removed_runs(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-@F.arrow_udf(_CUT)
-def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for text, ranges in zip(texts, spans.to_pylist()):
-        data, runs = text.as_py().encode(), removed_runs(ranges)
-        at, kept = 0, []
-        for low, high in runs:
-            kept.append(data[at:low])
-            at = high
-        left = b"".join(kept) + data[at:]
-        out.append((len(data), len(data) - len(left), len(runs), left, hashlib.sha256(left).hexdigest()))
-    columns = list(zip(*out)) or [()] * 5
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (bytes) and ``kept_sha256``."""
+def _cut(as_text: bool):
+    """What is left of texts: bytes, or the whole characters among them."""
+    kind = T.StructType().add("n_bytes", T.LongType()).add("n_removed", T.LongType()).add("n_spans", T.LongType())
+    kind = kind.add("kept", T.StringType() if as_text else T.BinaryType()).add("kept_sha256", T.StringType())
+
+    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, ranges in zip(texts, spans.to_pylist()):
+            data, runs = text.as_py().encode(), removed_runs(ranges)
+            at, kept = 0, []
+            for low, high in runs:
+                kept.append(data[at:low])
+                at = high
+            left = b"".join(kept) + data[at:]
+            kept = "".join(part.decode(errors="ignore") for part in (*kept, data[at:])) if as_text else left
+            out.append((len(data), len(data) - len(left), len(runs), kept, hashlib.sha256(left).hexdigest()))
+        columns = list(zip(*out)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), pa.string()]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+
+    return F.arrow_udf(run, kind)
+
+
+def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` and ``kept_sha256``.
+
+    ``kept`` are the bytes left; ``as_text`` drops those that are parts of a cut character.
+    """
     added = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "rid", "rid2", "spans"]
     docs = docs.drop(*added)
     joined = _keyed(docs).join(repeated_spans(docs), _KEY, "left").drop(*_KEY)
-    return joined.withColumn("_cut", _cut("text", "spans")).drop("spans").select("*", "_cut.*").drop("_cut")
+    return joined.withColumn("_cut", _cut(as_text)("text", "spans")).drop("spans").select("*", "_cut.*").drop("_cut")
