@@ -1,0 +1 @@
+"""Relational operators over documents, chunks and claims."""

@@ -1,0 +1 @@
+"""Structured Streaming: journal windows and idempotent upserts."""

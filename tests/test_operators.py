@@ -136,3 +136,38 @@ def test_verification_axes(spark):
     bad = verify.verify(declared, rows(("a", "x", [1.0]), ("c", "d", [1.0, 2.0])), 1, observed_space="l2")
     assert (bad.missing, bad.unexpected, bad.differing, bad.wrong_dimension) == (1, 1, 1, 1)
     assert bad.codes == ("BACKEND_STATE_INCONSISTENT", "EMBEDDING_IDENTITY_CHANGED")
+
+
+def test_manifest_seals_and_replacement(spark, tmp_path):
+    from paperloom.functions.canonical import text_fingerprint
+    from paperloom.integrity import manifest, replacement
+    from paperloom.integrity.codes import Refusal
+
+    chunk = {"chunk_id": "CHK-" + "0" * 32, "document_id": "DOC-1", "study_id": "STU-1", "locator": {"heading_path": ["A"], "ordinal_in_section": 1, "section_category": "other"}, "chunk_text_sha256": text_fingerprint("t"), "character_count": 1}
+    empty = dict.fromkeys(manifest.FIELDS)
+    payload = empty | {
+        "workspace_id": "WSP-1", "run_id": "RUN-1", "created_at": "2026-01-01T00:00:00Z", "status": "SUCCESS", "failures": [], "rejected_documents": [], "visible_chunks": [chunk],
+        "documents": [{"document_id": "DOC-1", "study_id": "STU-1", "chunk_ids": [chunk["chunk_id"]]}], "counts": {"visible_chunks": 1}, "parent_artifact_ref": {"artifact_id": "ART-1"},
+        "chunker": {"configuration": {"max_chunk_chars": 1200}}, "embedder": {"provider": "mock", "dimension": 2}, "backend": {"kind": "parquet"}, "producer": {"package": "p", "version": "1", "commit": "0" * 40},
+    }
+    sealed = manifest.validate(manifest.sealed(payload))
+    assert sealed["manifest_id"].startswith("IDX-")
+    with pytest.raises(Refusal):
+        manifest.validate(sealed | {"status": "FAILED"})
+    with pytest.raises(Refusal):
+        manifest.validate(sealed | {"corpus_fingerprint": "x"})
+    store = Store(spark, f"file://{tmp_path}/c")
+    rows = spark.createDataFrame([(chunk["chunk_id"], "DOC-1", "STU-1", chunk["chunk_text_sha256"], [1.0, 0.0])], "chunk_id string, document_id string, study_id string, chunk_text_sha256 string, embedding array<double>")
+    assert replacement.replace(store, sealed, rows, dimension=2, folder=str(tmp_path)) == "REPLACED"
+    assert replacement.replace(store, sealed, rows, dimension=2, folder=str(tmp_path), accepted=sealed) == "REUSED"
+    assert store.live_generation == "RUN-1" and replacement.finalize(str(tmp_path), "RUN-1", publication_confirmed=True)
+    with replacement.Lock(f"{tmp_path}/.index.lock"), pytest.raises(Refusal) as refused:
+        replacement.replace(store, sealed, rows, dimension=2, folder=str(tmp_path))
+    assert refused.value.code == "CONFLICT"
+
+
+def test_journal_counts(spark):
+    from paperloom.streaming.journal import counts_by_action
+
+    rows = spark.createDataFrame([("a", "2026-01-01 01:00:00"), ("a", "2026-01-01 02:00:00"), ("b", "2026-01-02 00:00:00")], "action string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    assert sorted((r["action"], r["n"]) for r in counts_by_action(rows).collect()) == [("a", 2), ("b", 1)]
