@@ -3,18 +3,24 @@
 A document's set holds its distinct 5-word shingles (fewer words: the whole
 sequence).  Documents with equal sets form a class, and only classes are compared.
 ``BANDS`` bands of ``ROWS`` MinHash values put classes into buckets; two sets at the
-threshold miss each other in all bands with a chance under one in a million.  The
-MinHash samples are also folded into an odd sketch, a bitmap of parities: the
-population count of the xor of two sketches estimates a high similarity closely,
-and candidates that it puts far below the threshold go no further.  The others
-are confirmed on their full shingle sets, by integer arithmetic.
-
-Within a bucket not all pairs are compared.  First its least class is compared
-with all others; then components are found; then, as long as a bucket holds
-classes that are not in the component of its first, ``PIVOTS`` of those at a time
-are compared with all of the bucket outside their component.  When that ends,
-every pair of a bucket was compared or lies within one component.  So no
-candidate is capped, and a bucket of like copies costs one comparison each.
+threshold miss each other in all bands with a chance under one in a million.
+
+Shingle hashes are also folded into an odd sketch, a bitmap of parities.  Equal
+shingles cancel in the xor of two sketches, so its population count never exceeds
+the symmetric difference of the sets, and for sets of up to a few thousand
+shingles comes close to it.  The similarity bounds that difference, so the sketch
+drops almost every candidate below the threshold and none above it.  All of a
+set is folded, not just its MinHash samples: 120 samples cannot tell 0.80 from
+0.85.  What is left is confirmed on the full sets, in whole numbers.
+
+Only components are asked for, so within a bucket not all pairs are compared.
+First its least class is compared with all others.  In buckets that then still
+hold several components, ``PIVOTS`` classes of the first one's component are
+compared with those outside it, ``TRIES`` times.  What is left over are mostly
+classes that are like nothing: ``STRAYS`` of them at a time are compared with all
+of their bucket outside their component, until each had its turn.  Then every
+pair of a bucket was compared, or lies within one component: no candidate is lost
+or capped, and a bucket of copies costs a few comparisons each.
 
 Null and blank texts have an empty set and are linked with nothing.  Rows are told
 apart by id and text.  Rows with a null id are linked like others, but cannot
@@ -30,14 +36,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh3_64_intdigest
 
-from .common import join_checked, materialise, small_batches
+from .common import is_small, join_checked, materialise, small_batches
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS, SKETCH_BITS = 24, 5, 512
-#: Differing sketch bits beyond which no pair at the threshold lies: its mean is 34
-#: of 512, and 104 are about nine standard deviations above.
-MOST_BITS = 104
-PIVOTS = 16
+BANDS, ROWS, SKETCH_BITS = 24, 5, 2048
+PIVOTS, TRIES, STRAYS = 4, 3, 256
 _rng = np.random.default_rng(20_240_601)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -77,10 +80,9 @@ def bands(least: np.ndarray) -> np.ndarray:
     return _mixed((rows * _POWERS[None, :ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """Parities of how many samples fall on each bit, as 64-bit words."""
-    places = _mixed(least + np.arange(len(least), dtype=np.uint64) * _POWERS[1]) % np.uint64(SKETCH_BITS)
-    odd = np.bincount(places.astype(np.int64), minlength=SKETCH_BITS) & 1
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of how many shingles fall on each bit, as 64-bit words."""
+    odd = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -97,21 +99,30 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([bands(m) if m is not None else [] for m in least], pa.list_(pa.int64())),
-                pa.array([odd_sketch(m) if m is not None else [] for m in least], pa.list_(pa.int64())),
+                pa.array([odd_sketch(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "cls", "n_shingles", "bands", "sketch"])
 
     return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, cls binary, n_shingles bigint, bands array<bigint>, sketch array<bigint>")
 
 
-def _bits_apart(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.get(F.col(a), k).bitwiseXOR(F.get(F.col(b), k))) for k in range(SKETCH_BITS // 64)), F.lit(0))
+def _may_reach(a: str, b: str) -> Column:
+    """Whether two classes can reach the threshold, by sizes and sketches."""
+    na, nb = F.col(f"{a}_size"), F.col(f"{b}_size")
+    apart = sum((F.bit_count(F.get(F.col(f"{a}_sketch"), k).bitwiseXOR(F.get(F.col(f"{b}_sketch"), k))) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    # 100 * both >= PERCENT * (na + nb - both) bounds the difference na + nb - 2 * both
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (na + nb))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of candidate pairs (a, b) those whose full sets reach the threshold."""
     named = lambda x: texts.select(F.col("cls").alias(x), F.col("text").alias(f"{x}_text"))
-    with_texts = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "a_text", "b_text")
+    pairs = materialise(pairs, "candidate-pairs")
+    few = is_small(pairs)  # then the texts stay where they are
+    one = named("b").join(F.broadcast(pairs) if few else pairs, "b")
+    ends = materialise(pairs.select("a").distinct(), "candidate-ends")
+    two = named("a").join(F.broadcast(ends) if few else ends, "a", "left_semi")
+    with_texts = one.join(two, "a").select("a", "b", "a_text", "b_text")
 
     def run(batches):
         last, first = None, None
@@ -148,6 +159,53 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links (a, b) between labelled classes."""
+    of = lambda x: labels.select(F.col("cls").alias(x), F.col("label").alias(f"{x}_label"))
+    ends = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).where("a <> b").distinct()
+    moved = components(ends, "merged-labels").select(F.col("cls").alias("label"), F.col("label").alias("to"))
+    out = join_checked(labels, moved, "label", "left").select("cls", F.coalesce("to", "label").alias("label"))
+    return materialise(out, "labels")
+
+
+def _linked(classes: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cls, label) of all classes in shared buckets."""
+    about = classes.select("cls", "sketch", F.col("n_shingles").alias("size"))
+    of = lambda x: about.select(F.col("cls").alias(x), F.col("sketch").alias(f"{x}_sketch"), F.col("size").alias(f"{x}_size"))
+    stars = members.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
+    near = stars.join(of("b"), "b").join(of("a"), "a").where(_may_reach("a", "b")).select("a", "b")
+    links = materialise(_confirm(near, texts), "links")
+    alone = members.select("cls").distinct().join(components(links), "cls", "left")
+    labels = materialise(alone.select("cls", F.coalesce("label", "cls").alias("label")), "labels")
+
+    left, turn, tried = members, 0, None
+    while True:
+        here = left.select("bucket", "cls", "first").join(labels, "cls")
+        mixed = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        main = labels.select(F.col("cls").alias("first"), F.col("label").alias("first_label"))
+        left = here.join(mixed, "bucket", "left_semi").join(main, "first").select("bucket", "cls", "first", "label", "first_label")
+        left = materialise(left, "unsettled")
+        by_turn = Window.partitionBy("bucket").orderBy(F.xxhash64("cls", F.lit(turn)), "cls")
+        if turn < TRIES:
+            pivots, most = left.where("label = first_label"), PIVOTS
+        else:
+            pivots, most = left.where("label <> first_label"), STRAYS
+            pivots = pivots if tried is None else pivots.join(tried, ["bucket", "cls"], "left_anti")
+        pivots = materialise(pivots.withColumn("_k", F.row_number().over(by_turn)).where(F.col("_k") <= most).select("bucket", "cls", "label"), "pivots")
+        if pivots.isEmpty():
+            return labels
+        if turn >= TRIES:
+            now = pivots.select("bucket", "cls")
+            tried = now if tried is None else tried.unionByName(now)
+        a = pivots.select("bucket", F.col("cls").alias("a"), F.col("label").alias("a_label")).join(of("a"), "a")
+        b = left.select("bucket", F.col("cls").alias("b"), F.col("label").alias("b_label")).join(of("b"), "b")
+        pairs = b.join(a, (b["bucket"] == a["bucket"]) & (F.col("a_label") != F.col("b_label")) & _may_reach("a", "b"))
+        found = materialise(_confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts), "links")
+        if not found.isEmpty():
+            labels = _relabelled(labels, found)
+        turn += 1
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Set size, component and whether it stands for its component, of every row."""
     spark = docs.sparkSession
@@ -157,50 +215,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     signed = materialise(_signatures(rows), "signatures")
     full = signed.where("n_shingles > 0")
     classes = materialise(
-        full.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        full.groupBy("cls", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "classes",
     )
     banded = classes.select(F.explode("bands").alias("bucket"), "cls")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cls").alias("first")).where("n > 1").select("bucket", "first")
     members = materialise(banded.join(shared, "bucket"), "buckets")  # (bucket, cls, first)
-    near = members.select("cls").distinct()
-    sketches = materialise(classes.join(near, "cls", "left_semi").select("cls", "row", "sketch"), "sketches")
-
-    want = sketches.select("cls", F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
-    texts = materialise(
-        join_checked(rows, want, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash")), "inner")
-        .select("cls", "text").dropDuplicates(["cls"]),
-        "candidate-texts",
-    )
-    sketch_of = lambda x: sketches.select(F.col("cls").alias(x), F.col("sketch").alias(f"{x}_sketch"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        close = pairs.join(sketch_of("b"), "b").join(sketch_of("a"), "a").where(_bits_apart("a_sketch", "b_sketch") <= MOST_BITS).select("a", "b")
-        return _confirm(close, texts)
-
-    links = materialise(confirmed(members.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()), "links")
-    labels = components(links)
-    tried = None
-    while True:
-        lab = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        mixed = lab.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("first").alias("_first")).where("low <> high").select("bucket", "_first")
-        first_label = labels.select(F.col("cls").alias("_first"), F.col("label").alias("first_label"))
-        left = lab.join(mixed, "bucket").join(first_label, "_first", "left").withColumn("first_label", F.coalesce("first_label", "_first"))
-        left = materialise(left.select("bucket", "cls", "label", "first_label"), "unsettled")
-        strays = left.where("label <> first_label").select("bucket", "cls", "label")
-        if tried is not None:
-            strays = strays.join(tried, ["bucket", "cls"], "left_anti")
-        pick = strays.withColumn("_k", F.row_number().over(Window.partitionBy("bucket").orderBy("cls"))).where(F.col("_k") <= PIVOTS)
-        pick = materialise(pick.select("bucket", F.col("cls").alias("a"), F.col("label").alias("a_label")), "pivots")
-        if pick.isEmpty():
-            break
-        now = pick.select("bucket", F.col("a").alias("cls"))
-        tried = now if tried is None else tried.unionByName(now)
-        pairs = left.withColumnRenamed("cls", "b").join(pick, "bucket").where("label <> a_label").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = materialise(confirmed(pairs), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links)
+    near = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "n_shingles", "sketch", "row")
+    near = materialise(near, "near-classes")
+
+    want = near.select("cls", F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
+    texts = materialise(join_checked(rows, want, same, "inner").select("cls", "text").dropDuplicates(["cls"]), "candidate-texts")
+    labels = _linked(near, members, texts)
 
     named = signed.select("doc_id", "cls", "n_shingles").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = full.select("cls", "doc_id").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(labels, "cls", "left")
