@@ -23,15 +23,23 @@ def pieces(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """Results by piece, computed when first asked for and forgotten once too many."""
+    """Results by key, computed when first asked for.
+
+    Of ``most`` results at most half are those asked for lately; when there are as many,
+    they become the older half and the older half is forgotten, so what is asked
+    for often stays.
+    """
 
     def __init__(self, compute, most: int):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.older = compute, most, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
-        if len(self) >= self.most:
+        value = self.older.get(key, self)
+        if value is self:
+            value = self.compute(key)
+        if 2 * len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
         self[key] = value
         return value

@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -60,7 +61,7 @@ class LibraryEncoder:
         library = Tokenizer.from_file(path)
         self.model = library.model
         self.width = 2 if library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.kind = np.dtype(f"<u{self.width}")
+        self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
         self.added = {token.content: np.array([i], self.kind).tobytes() for i, token in library.get_added_tokens_decoder().items()}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
@@ -69,7 +70,7 @@ class LibraryEncoder:
 
     def _encode(self, piece: str) -> bytes:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
-        return np.array([token.id for token in tokens], self.kind).tobytes()
+        return array(self.code, [token.id for token in tokens]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as bytes."""
