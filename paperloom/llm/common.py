@@ -44,14 +44,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, ids_only: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage and survives lost executors.
+    This cuts the lineage and survives lost executors.  Tables of ids, whose rows are
+    a few bytes, are written in four tasks for each core, not one for each partition.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
     schema = df.schema
+    if ids_only:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 

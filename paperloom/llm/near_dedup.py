@@ -40,7 +40,7 @@ from .common import is_small, join_checked, materialise, small_batches
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, SKETCH_BITS = 24, 5, 2048
-PIVOTS, TRIES, STRAYS = 4, 3, 256
+PIVOTS, TRIES, STRAYS = 8, 2, 1024
 _rng = np.random.default_rng(20_240_601)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -117,10 +117,10 @@ def _may_reach(a: str, b: str) -> Column:
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of candidate pairs (a, b) those whose full sets reach the threshold."""
     named = lambda x: texts.select(F.col("cls").alias(x), F.col("text").alias(f"{x}_text"))
-    pairs = materialise(pairs, "candidate-pairs")
+    pairs = materialise(pairs, "candidate-pairs", ids_only=True)
     few = is_small(pairs)  # then the texts stay where they are
     one = named("b").join(F.broadcast(pairs) if few else pairs, "b")
-    ends = materialise(pairs.select("a").distinct(), "candidate-ends")
+    ends = materialise(pairs.select("a").distinct(), "candidate-ends", ids_only=True)
     two = named("a").join(F.broadcast(ends) if few else ends, "a", "left_semi")
     with_texts = one.join(two, "a").select("a", "b", "a_text", "b_text")
 
@@ -147,12 +147,12 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     chain shortens by more than half in each round.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialise(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("label")), name)
+    labels = materialise(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("label")), name, ids_only=True)
     while True:
         near = both.join(labels.withColumnsRenamed({"cls": "b"}), "b").groupBy(F.col("a").alias("cls")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "cls").select("cls", "label", F.least("label", "near").alias("to"))
         jump = labels.select(F.col("cls").alias("to"), F.col("label").alias("jump"))
-        moved = materialise(spread.join(jump, "to", "left").select("cls", "label", F.least("to", F.coalesce("jump", "to")).alias("next")), name)
+        moved = materialise(spread.join(jump, "to", "left").select("cls", "label", F.least("to", F.coalesce("jump", "to")).alias("next")), name, ids_only=True)
         done = moved.where("label <> next").isEmpty()
         labels = moved.select("cls", F.col("next").alias("label"))
         if done:
@@ -165,7 +165,7 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).where("a <> b").distinct()
     moved = components(ends, "merged-labels").select(F.col("cls").alias("label"), F.col("label").alias("to"))
     out = join_checked(labels, moved, "label", "left").select("cls", F.coalesce("to", "label").alias("label"))
-    return materialise(out, "labels")
+    return materialise(out, "labels", ids_only=True)
 
 
 def _linked(classes: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -174,9 +174,9 @@ def _linked(classes: DataFrame, members: DataFrame, texts: DataFrame) -> DataFra
     of = lambda x: about.select(F.col("cls").alias(x), F.col("sketch").alias(f"{x}_sketch"), F.col("size").alias(f"{x}_size"))
     stars = members.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
     near = stars.join(of("b"), "b").join(of("a"), "a").where(_may_reach("a", "b")).select("a", "b")
-    links = materialise(_confirm(near, texts), "links")
+    links = materialise(_confirm(near, texts), "links", ids_only=True)
     alone = members.select("cls").distinct().join(components(links), "cls", "left")
-    labels = materialise(alone.select("cls", F.coalesce("label", "cls").alias("label")), "labels")
+    labels = materialise(alone.select("cls", F.coalesce("label", "cls").alias("label")), "labels", ids_only=True)
 
     left, turn, tried = members, 0, None
     while True:
@@ -184,14 +184,14 @@ def _linked(classes: DataFrame, members: DataFrame, texts: DataFrame) -> DataFra
         mixed = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
         main = labels.select(F.col("cls").alias("first"), F.col("label").alias("first_label"))
         left = here.join(mixed, "bucket", "left_semi").join(main, "first").select("bucket", "cls", "first", "label", "first_label")
-        left = materialise(left, "unsettled")
+        left = materialise(left, "unsettled", ids_only=True)
         by_turn = Window.partitionBy("bucket").orderBy(F.xxhash64("cls", F.lit(turn)), "cls")
         if turn < TRIES:
             pivots, most = left.where("label = first_label"), PIVOTS
         else:
             pivots, most = left.where("label <> first_label"), STRAYS
             pivots = pivots if tried is None else pivots.join(tried, ["bucket", "cls"], "left_anti")
-        pivots = materialise(pivots.withColumn("_k", F.row_number().over(by_turn)).where(F.col("_k") <= most).select("bucket", "cls", "label"), "pivots")
+        pivots = materialise(pivots.withColumn("_k", F.row_number().over(by_turn)).where(F.col("_k") <= most).select("bucket", "cls", "label"), "pivots", ids_only=True)
         if pivots.isEmpty():
             return labels
         if turn >= TRIES:
@@ -200,7 +200,7 @@ def _linked(classes: DataFrame, members: DataFrame, texts: DataFrame) -> DataFra
         a = pivots.select("bucket", F.col("cls").alias("a"), F.col("label").alias("a_label")).join(of("a"), "a")
         b = left.select("bucket", F.col("cls").alias("b"), F.col("label").alias("b_label")).join(of("b"), "b")
         pairs = b.join(a, (b["bucket"] == a["bucket"]) & (F.col("a_label") != F.col("b_label")) & _may_reach("a", "b"))
-        found = materialise(_confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts), "links")
+        found = materialise(_confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts), "links", ids_only=True)
         if not found.isEmpty():
             labels = _relabelled(labels, found)
         turn += 1
