@@ -56,8 +56,8 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: Connected components and byte-pair merges are beyond SQL here; the tests hold
-#: the pipeline against a brute-force version instead.
+#: Connected components and byte-pair merges are beyond SQL here.  The tests hold each
+#: operator against a plain model; the stages together have none yet.
 ORACLE_SQL = None
 
 
