@@ -2,8 +2,10 @@
 
 A document's set holds its distinct 5-word shingles (fewer words: the whole
 sequence).  Documents with equal sets form a class, and only classes are compared.
-``BANDS`` bands of ``ROWS`` MinHash values put classes into buckets; two sets at the
-threshold miss each other in all bands with a chance under one in a million.
+Bands of MinHash values put classes into buckets; two sets at the threshold miss
+each other in all bands with a chance under one in a million.  ``LAYOUTS`` has the
+bands and the values in each by the threshold: 85 percent is that of the op4 query,
+80 that of the stage of the pipeline.
 
 Shingle hashes are also folded into an odd sketch, a bitmap of parities.  Equal
 shingles cancel in the xor of two sketches, so its population count never exceeds
@@ -39,12 +41,14 @@ from xxhash import xxh3_128_digest, xxh3_64_intdigest
 from .common import is_small, join_checked, materialise, small_batches
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS, SKETCH_BITS = 24, 5, 2048
+SKETCH_BITS = 2048
+LAYOUTS = {85: (24, 5), 80: (27, 4)}
+_HASHES, _MOST_ROWS = max(b * r for b, r in LAYOUTS.values()), max(r for _, r in LAYOUTS.values())
 PIVOTS, TRIES, STRAYS = 8, 2, 1024
 _rng = np.random.default_rng(20_240_601)
-_FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(max(SHINGLE, ROWS))], np.uint64)
+_FACTORS = _rng.integers(0, 1 << 63, _HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _rng.integers(0, 1 << 63, _HASHES, np.uint64)
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(max(SHINGLE, _MOST_ROWS))], np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -67,17 +71,17 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_mixed(sums))
 
 
-def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+def min_hashes(shingles: np.ndarray, n: int) -> np.ndarray:
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 2048):
         part = shingles[at : at + 2048]
-        np.minimum(least, (part[None, :] * _FACTORS[:, None] + _OFFSETS[:, None]).min(1), out=least)
+        np.minimum(least, (part[None, :] * _FACTORS[:n, None] + _OFFSETS[:n, None]).min(1), out=least)
     return least
 
 
-def bands(least: np.ndarray) -> np.ndarray:
-    rows = _mixed(least).reshape(BANDS, ROWS)
-    return _mixed((rows * _POWERS[None, :ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def bands(least: np.ndarray, n: int) -> np.ndarray:
+    rows = _mixed(least).reshape(n, -1)
+    return _mixed((rows * _POWERS[None, : rows.shape[1]]).sum(1, dtype=np.uint64) + np.arange(n, dtype=np.uint64)).view(np.int64)
 
 
 def odd_sketch(shingles: np.ndarray) -> np.ndarray:
@@ -86,19 +90,20 @@ def odd_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _signatures(docs: DataFrame) -> DataFrame:
+def _signatures(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, text_hash, class, n_shingles, bands, sketch) of every row."""
+    n_bands, n_rows = LAYOUTS[percent]
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(value.as_py()) for value in batch.column(2)]
-            least = [min_hashes(s) if len(s) else None for s in sets]
+            least = [min_hashes(s, n_bands * n_rows) if len(s) else None for s in sets]
             columns = [
                 batch.column(0),
                 batch.column(1),
                 pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([bands(m) if m is not None else [] for m in least], pa.list_(pa.int64())),
+                pa.array([bands(m, n_bands) if m is not None else [] for m in least], pa.list_(pa.int64())),
                 pa.array([odd_sketch(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "cls", "n_shingles", "bands", "sketch"])
@@ -106,15 +111,15 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, cls binary, n_shingles bigint, bands array<bigint>, sketch array<bigint>")
 
 
-def _may_reach(a: str, b: str) -> Column:
+def _may_reach(a: str, b: str, percent: int) -> Column:
     """Whether two classes can reach the threshold, by sizes and sketches."""
     na, nb = F.col(f"{a}_size"), F.col(f"{b}_size")
     apart = sum((F.bit_count(F.get(F.col(f"{a}_sketch"), k).bitwiseXOR(F.get(F.col(f"{b}_sketch"), k))) for k in range(SKETCH_BITS // 64)), F.lit(0))
-    # 100 * both >= PERCENT * (na + nb - both) bounds the difference na + nb - 2 * both
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (na + nb))
+    # 100 * both >= percent * (na + nb - both) bounds the difference na + nb - 2 * both
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) those whose full sets reach the threshold."""
     named = lambda x: texts.select(F.col("cls").alias(x), F.col("text").alias(f"{x}_text"))
     pairs = materialise(pairs, "candidate-pairs", ids_only=True)
@@ -134,7 +139,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     last, first = name, shingle_set(batch.column(2)[i].as_py())
                 second = shingle_set(batch.column(3)[i].as_py())
                 both = len(np.intersect1d(first, second, assume_unique=True))
-                yes.append(100 * both >= PERCENT * (len(first) + len(second) - both))
+                yes.append(100 * both >= percent * (len(first) + len(second) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     return with_texts.mapInArrow(run, "a binary, b binary")
@@ -168,13 +173,13 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(out, "labels", ids_only=True)
 
 
-def _linked(classes: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(classes: DataFrame, members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(cls, label) of all classes in shared buckets."""
     about = classes.select("cls", "sketch", F.col("n_shingles").alias("size"))
     of = lambda x: about.select(F.col("cls").alias(x), F.col("sketch").alias(f"{x}_sketch"), F.col("size").alias(f"{x}_size"))
     stars = members.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
-    near = stars.join(of("b"), "b").join(of("a"), "a").where(_may_reach("a", "b")).select("a", "b")
-    links = materialise(_confirm(near, texts), "links", ids_only=True)
+    near = stars.join(of("b"), "b").join(of("a"), "a").where(_may_reach("a", "b", percent)).select("a", "b")
+    links = materialise(_confirm(near, texts, percent), "links", ids_only=True)
     alone = members.select("cls").distinct().join(components(links), "cls", "left")
     labels = materialise(alone.select("cls", F.coalesce("label", "cls").alias("label")), "labels", ids_only=True)
 
@@ -199,20 +204,23 @@ def _linked(classes: DataFrame, members: DataFrame, texts: DataFrame) -> DataFra
             tried = now if tried is None else tried.unionByName(now)
         a = pivots.select("bucket", F.col("cls").alias("a"), F.col("label").alias("a_label")).join(of("a"), "a")
         b = left.select("bucket", F.col("cls").alias("b"), F.col("label").alias("b_label")).join(of("b"), "b")
-        pairs = b.join(a, (b["bucket"] == a["bucket"]) & (F.col("a_label") != F.col("b_label")) & _may_reach("a", "b"))
-        found = materialise(_confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts), "links", ids_only=True)
+        pairs = b.join(a, (b["bucket"] == a["bucket"]) & (F.col("a_label") != F.col("b_label")) & _may_reach("a", "b", percent))
+        found = materialise(_confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, percent), "links", ids_only=True)
         if not found.isEmpty():
             labels = _relabelled(labels, found)
         turn += 1
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """Set size, component and whether it stands for its component, of every row."""
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Set size, component and whether it stands for its component, of every row.
+
+    Two sets are linked at a similarity of ``percent`` in a hundred or more.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    signed = materialise(_signatures(rows), "signatures")
+    signed = materialise(_signatures(rows, percent), "signatures")
     full = signed.where("n_shingles > 0")
     classes = materialise(
         full.groupBy("cls", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
@@ -227,7 +235,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     want = near.select("cls", F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
     texts = materialise(join_checked(rows, want, same, "inner").select("cls", "text").dropDuplicates(["cls"]), "candidate-texts")
-    labels = _linked(near, members, texts)
+    labels = _linked(near, members, texts, percent)
 
     named = signed.select("doc_id", "cls", "n_shingles").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = full.select("cls", "doc_id").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(labels, "cls", "left")
