@@ -15,6 +15,8 @@ from paperloom.llm.common import join_checked, materialise, new_folder, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The similarity of near-duplicates here; the 85 of the op4 query is its own.
 NEAR_PERCENT = 80
+#: A passage of so many words that repeats goes, and so does one of the 400 bytes of op6.
+REPEATED_WORDS = 51
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +31,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings are cut out; a document of which nothing is left goes.
+    """Repeated passages are cut out; a document of which nothing is left goes.
 
     A character of which bytes were cut goes as a whole.
     """
-    cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True)
+    cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True, words=REPEATED_WORDS)
     left = cut.where((F.col("n_removed") == 0) | (F.col("kept") != ""))
     return left.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 

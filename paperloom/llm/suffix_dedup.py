@@ -21,19 +21,28 @@ are equal is used.  Strings are judged on the input, not on what is left.
 
 The filter of step 1 is a bitmap of fixed size if few enough hashes repeat, and a
 shuffle join beyond that.  Null texts are empty; texts of under ``LENGTH`` bytes
-lose nothing.  Rows are told apart by id and text; equal rows are copies of each
-other like any copies.  All columns of the input are carried through.
+lose nothing.
+
+All this works on units of a text: bytes, or its words, each as 8 bytes of hash.  By
+words a passage is caught however few bytes its words take; what goes is then all
+from the first byte of its first word to the last byte of its last.
+
+Rows are told apart by id and text; equal rows are copies of each other like any
+copies.  All columns of the input are carried through.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from .common import join_checked, materialise, small_batches
 
@@ -45,6 +54,35 @@ BLOCK_WINDOWS, SEGMENT = 1 << 20, 1 << 20
 FILTER_BITS = 1 << 26
 FILTER_HASHES = FILTER_BITS // 16
 
+
+class Unit(NamedTuple):
+    """What windows are counted in: ``length`` units a window, ``gram`` a gram."""
+
+    length: int
+    gram: int
+    kind: type  # of a unit in arrays
+
+    @property
+    def size(self) -> int:
+        return np.dtype(self.kind).itemsize
+
+
+BYTES = Unit(LENGTH, GRAM, np.uint8)
+WORD_GRAM = 10
+_WORD = re.compile(rb"\S+")
+
+
+def of_words(length: int) -> Unit:
+    return Unit(length, min(WORD_GRAM, length), np.uint64)
+
+
+def units(text: str, unit: Unit) -> np.ndarray:
+    data = text.encode()
+    if unit.kind is np.uint8:
+        return np.frombuffer(data, np.uint8)
+    return np.array([xxh3_64_intdigest(word) for word in data.split()], np.uint64)
+
+
 _TABLE = np.random.default_rng(99).integers(0, (1 << 64) - 1, 256, np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 22) - 1)  # place within a segment
@@ -63,10 +101,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hashes(data: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """Sums of the weighted bytes before each place; ``at`` gives the exponents."""
+    """Sums of the weighted units before each place; ``at`` gives the exponents."""
     up, _ = powers(len(data) if at is None else int(at.max(initial=0)) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * (up if at is None else up[at]), out=out[1:])
+    np.cumsum((_TABLE[data] if data.dtype == np.uint8 else data) * (up if at is None else up[at]), out=out[1:])
     return out
 
 
@@ -85,15 +123,16 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchored_runs(data: np.ndarray):
+def anchored_runs(data: np.ndarray, unit: Unit = BYTES):
     """(hash, first start, windows) of each run of windows that share an anchor."""
+    length, gram = unit.length, unit.gram
     prints, firsts, counts = [], [], []
-    for base in range(0, max(len(data) - LENGTH + 1, 0), SEGMENT):
-        part = data[base : base + SEGMENT + LENGTH - 1]
+    for base in range(0, max(len(data) - length + 1, 0), SEGMENT):
+        part = data[base : base + SEGMENT + length - 1]
         prefix = prefix_hashes(part)
-        grams = _mixed((prefix[GRAM:] - prefix[:-GRAM]) * powers(len(part) - GRAM + 1)[1])
+        grams = _mixed((prefix[gram:] - prefix[:-gram]) * powers(len(part) - gram + 1)[1])
         keys = (grams & ~_LOW) | (_LOW - np.arange(len(grams), dtype=np.uint64))
-        place = (_LOW - (_sliding_min(keys, LENGTH - GRAM + 1) & _LOW)).astype(np.int64)
+        place = (_LOW - (_sliding_min(keys, length - gram + 1) & _LOW)).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
         prints.append(grams[place[first]].view(np.int64))
         firsts.append(first + base)
@@ -103,23 +142,24 @@ def anchored_runs(data: np.ndarray):
     return tuple(map(np.concatenate, (prints, firsts, counts)))
 
 
-def repeated_runs(parts: list[bytes], windows: np.ndarray):
+def repeated_runs(parts: list[bytes], windows: np.ndarray, unit: Unit = BYTES):
     """Which windows of a block repeat within it.
 
     ``parts`` are byte strings, each over ``windows[i]`` windows.  Returns a mask
     over all windows, the place of the first equal window of each, and where the
     windows of each part begin.
     """
-    sizes = np.array([len(p) for p in parts])
+    length, wide = unit.length, unit.size
+    sizes = np.array([len(p) // wide for p in parts])
     begin = np.cumsum(sizes) - sizes
     first = np.cumsum(windows) - windows
-    flat = np.frombuffer(b"".join(parts), np.uint8)
+    flat = np.frombuffer(b"".join(parts), unit.kind)
     local = np.arange(len(flat)) - np.repeat(begin, sizes)
     prefix = prefix_hashes(flat, local)
     at = np.arange(int(windows.sum())) - np.repeat(first, windows)
     start = at + np.repeat(begin, windows)
     _, down = powers(int(at.max(initial=0)) + 1)
-    key = (prefix[start + LENGTH] - prefix[start]) * down[at]
+    key = (prefix[start + length] - prefix[start]) * down[at]
     order = np.argsort(key, kind="stable")  # mergesort
     new = np.append(True, np.diff(key[order]) != 0)
     leader = np.empty(len(key), np.int64)
@@ -135,7 +175,7 @@ def repeated_runs(parts: list[bytes], windows: np.ndarray):
     inverse = powers(int(sizes.max(initial=0)) + 1)[1]
 
     def same(a: int, b: int, n: int) -> bool:
-        """Whether the n bytes from two places hash alike."""
+        """Whether the n units from two places hash alike."""
         x = (int(prefix[a + n]) - int(prefix[a])) * int(inverse[local[a]])
         y = (int(prefix[b + n]) - int(prefix[b])) * int(inverse[local[b]])
         return (x - y) & 0xFFFFFFFFFFFFFFFF == 0
@@ -150,20 +190,20 @@ def repeated_runs(parts: list[bytes], windows: np.ndarray):
         o = int(other[e])
         a, b = int(start[e]), int(start[o])
         most = min(int(ends[part_of[e]]) - a, int(ends[part_of[o]]) - b)
-        low, high = LENGTH, most
+        low, high = length, most
         while low < high:  # the common extension
             middle = (low + high + 1) // 2
             if same(a, b, middle):
                 low = middle
             else:
                 high = middle - 1
-        if whole[a : a + low] == whole[b : b + low]:
-            proven[e : e + low - LENGTH + 1] = True
-            i = int(np.searchsorted(todo, e + low - LENGTH + 1))
+        if whole[a * wide : (a + low) * wide] == whole[b * wide : (b + low) * wide]:
+            proven[e : e + low - length + 1] = True
+            i = int(np.searchsorted(todo, e + low - length + 1))
         else:  # a collision: look at all windows of that hash
             same_key = np.flatnonzero(key == key[e])
-            mine = whole[a : a + LENGTH]
-            proven[e] = any(w != e and whole[start[w] : start[w] + LENGTH] == mine for w in same_key.tolist())
+            mine = whole[a * wide : (a + length) * wide]
+            proven[e] = any(w != e and whole[start[w] * wide : (start[w] + length) * wide] == mine for w in same_key.tolist())
             i += 1
     return proven, leader, first, start, whole
 
@@ -181,23 +221,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"text": text}).withColumns({"rid": F.xxhash64("doc_id", "text"), "rid2": F.hash("text", "doc_id")})
 
 
-def _anchors(rows: DataFrame) -> DataFrame:
+def _long(unit: Unit) -> Column:
+    """Whether a text may hold a window; n words take 2 * n - 1 bytes at least."""
+    return F.octet_length("text") >= (unit.length if unit.kind is np.uint8 else 2 * unit.length - 1)
+
+
+def _anchors(rows: DataFrame, unit: Unit) -> DataFrame:
     def run(batches):
         for batch in batches:
             for r, r2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                prints, _, _ = anchored_runs(np.frombuffer(text.as_py().encode(), np.uint8))
+                prints, _, _ = anchored_runs(units(text.as_py(), unit), unit)
                 if len(prints):
                     n = len(prints)
                     yield pa.RecordBatch.from_arrays([pa.array([r] * n, pa.int64()), pa.array([r2] * n, pa.int32()), pa.array(prints)], ["rid", "rid2", "print"])
 
-    return rows.select("rid", "rid2", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(run, "rid bigint, rid2 int, print bigint")
+    return rows.select("rid", "rid2", "text").where(_long(unit)).mapInArrow(run, "rid bigint, rid2 int, print bigint")
 
 
 _PART = "rid bigint, rid2 int, print bigint, first bigint, windows bigint, bytes binary"
 
 
-def _emit(bitmap):
-    """Maps texts to the byte strings under windows whose anchor may repeat."""
+def _emit(bitmap, unit: Unit):
+    """Maps texts to the units, as bytes, under windows whose anchor may repeat."""
 
     def run(batches):
         bits = None if bitmap is None else bitmap.value
@@ -205,8 +250,8 @@ def _emit(bitmap):
             rows = []
             listed = batch.column(3).to_pylist() if bits is None else None
             for i, (r, r2, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))):
-                data = text.as_py().encode()
-                prints, firsts, counts = anchored_runs(np.frombuffer(data, np.uint8))
+                data = units(text.as_py(), unit)
+                prints, firsts, counts = anchored_runs(data, unit)
                 if bits is None:
                     wanted = np.isin(prints, np.array(listed[i], np.int64))
                 else:
@@ -214,7 +259,7 @@ def _emit(bitmap):
                     wanted = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 for k in np.flatnonzero(wanted).tolist():
                     first, n = int(firsts[k]), int(counts[k])
-                    rows.append((r, r2, int(prints[k]), first, n, data[first : first + n + LENGTH - 1]))
+                    rows.append((r, r2, int(prints[k]), first, n, data[first : first + n + unit.length - 1].tobytes()))
                 if len(rows) > 20_000:
                     yield _batch(rows)
                     rows = []
@@ -238,15 +283,16 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _resolve(batches):
+def _resolve(batches, unit: Unit):
     """Rows of a partition, sorted by group: settled ranges of starts, and for groups
     that were split the distinct windows with whether they are settled here."""
+    wide, length = unit.size, unit.length
     names = ["rid", "rid2", "low", "high", "digest", "settled"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
 
     def settle(rows):
         windows = np.array([r[5] for r in rows], np.int64)
-        proven, leader, first, start, whole = repeated_runs([r[6] for r in rows], windows)
+        proven, leader, first, start, whole = repeated_runs([r[6] for r in rows], windows, unit)
         out = []
         for i, (r, r2, _, _, base, n, _, shares) in enumerate(rows):
             mine = proven[first[i] : first[i] + n]
@@ -254,7 +300,7 @@ def _resolve(batches):
             if shares > 1:
                 for w in np.flatnonzero(~mine | (leader[first[i] : first[i] + n] == np.arange(first[i], first[i] + n))).tolist():
                     s = int(start[first[i] + w])
-                    out.append((r, r2, base + w, base + w, hashlib.blake2b(whole[s : s + LENGTH], digest_size=16).digest(), bool(mine[w])))
+                    out.append((r, r2, base + w, base + w, hashlib.blake2b(whole[s * wide : (s + length) * wide], digest_size=16).digest(), bool(mine[w])))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
@@ -277,19 +323,19 @@ def _resolve(batches):
         yield from settle(held)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     """(rid, rid2, spans): sorted ranges of starts of repeated windows, for rows that have any."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = _keyed(docs).select("rid", "rid2", "text")
-    anchors = materialise(_anchors(rows), "anchors")
+    anchors = materialise(_anchors(rows, unit), "anchors")
     again = materialise(anchors.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"), "repeated-anchors")
-    long = rows.where(F.octet_length("text") >= LENGTH)
+    long = rows.where(_long(unit))
     if again.count() <= FILTER_HASHES:
-        parts = long.mapInArrow(_emit(spark.sparkContext.broadcast(_bitmap(again))), _PART)
+        parts = long.mapInArrow(_emit(spark.sparkContext.broadcast(_bitmap(again)), unit), _PART)
     else:
         listed = anchors.join(again, "print", "left_semi").groupBy(*_KEY).agg(F.collect_set("print").alias("prints"))
-        parts = long.join(listed, _KEY).select("rid", "rid2", "text", "prints").mapInArrow(_emit(None), _PART)
+        parts = long.join(listed, _KEY).select("rid", "rid2", "text", "prints").mapInArrow(_emit(None, unit), _PART)
     hot = again.where(F.col("n") > SPLIT).select("print", F.ceil(F.col("n") / SPLIT).alias("shares"))
     shares = F.coalesce(F.col("shares"), F.lit(1).cast("bigint"))
     dealt = (
@@ -300,7 +346,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .repartition("print", "share")
         .sortWithinPartitions("print", "share")
     )
-    found = dealt.mapInArrow(_resolve, "rid bigint, rid2 int, low bigint, high bigint, digest binary, settled boolean")
+    found = dealt.mapInArrow(lambda batches: _resolve(batches, unit), "rid bigint, rid2 int, low bigint, high bigint, digest binary, settled boolean")
     found = materialise(found, "settled-windows")
     settled = found.where(F.col("digest").isNull()).select(*_KEY, "low", "high")
     if hot.isEmpty():
@@ -311,11 +357,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
 
 
-def removed_runs(spans) -> list[tuple[int, int]]:
-    """Maximal runs of removed bytes from sorted ranges of starts of repeated windows."""
+def removed_runs(spans, length: int = LENGTH) -> list[tuple[int, int]]:
+    """Maximal runs of removed units from sorted ranges of starts of repeated windows."""
+    return _merged((span["low"], span["high"] + length) for span in spans or ())
+
+
+def _removed_words(data: bytes, spans, length: int) -> list[tuple[int, int]]:
+    """Runs of removed bytes from sorted ranges of words."""
+    places = [word.span() for word in _WORD.finditer(data)] if spans else []
+    return [(places[low][0], places[high - 1][1]) for low, high in removed_runs(spans, length)]
+
+
+def _merged(runs) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for span in spans or ():
-        low, high = span["low"], span["high"] + LENGTH
+    for low, high in runs:
         if out and low <= out[-1][1]:
             out[-1][1] = max(out[-1][1], high)
         else:
@@ -323,15 +378,17 @@ def removed_runs(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _cut(as_text: bool):
+def _cut(as_text: bool, words: int | None):
     """What is left of texts: bytes, or the whole characters among them."""
     kind = T.StructType().add("n_bytes", T.LongType()).add("n_removed", T.LongType()).add("n_spans", T.LongType())
     kind = kind.add("kept", T.StringType() if as_text else T.BinaryType()).add("kept_sha256", T.StringType())
 
-    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    def run(texts: pa.Array, spans: pa.Array, word_spans: pa.Array) -> pa.Array:
         out = []
-        for text, ranges in zip(texts, spans.to_pylist()):
+        for text, ranges, of_words in zip(texts, spans.to_pylist(), word_spans.to_pylist()):
             data, runs = text.as_py().encode(), removed_runs(ranges)
+            if of_words:
+                runs = _merged(sorted(runs + _removed_words(data, of_words, words)))
             at, kept = 0, []
             for low, high in runs:
                 kept.append(data[at:low])
@@ -346,12 +403,18 @@ def _cut(as_text: bool):
     return F.arrow_udf(run, kind)
 
 
-def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, as_text: bool = False, words: int | None = None) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` and ``kept_sha256``.
 
     ``kept`` are the bytes left; ``as_text`` drops those that are parts of a cut character.
+    With ``words``, repeated runs of so many words go as well, however few bytes they have.
     """
-    added = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "rid", "rid2", "spans"]
+    added = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "rid", "rid2", "spans", "word_spans"]
     docs = docs.drop(*added)
-    joined = _keyed(docs).join(repeated_spans(docs), _KEY, "left").drop(*_KEY)
-    return joined.withColumn("_cut", _cut(as_text)("text", "spans")).drop("spans").select("*", "_cut.*").drop("_cut")
+    joined = _keyed(docs).join(repeated_spans(docs), _KEY, "left")
+    if words is None:
+        joined = joined.withColumn("word_spans", F.lit(None).cast("array<struct<low:bigint,high:bigint>>"))
+    else:
+        joined = joined.join(repeated_spans(docs, of_words(words)).withColumnRenamed("spans", "word_spans"), _KEY, "left")
+    cut = joined.drop(*_KEY).withColumn("_cut", _cut(as_text, words)("text", "spans", "word_spans"))
+    return cut.drop("spans", "word_spans").select("*", "_cut.*").drop("_cut")

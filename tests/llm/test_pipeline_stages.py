@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import collections
 import os
 import random
+import re
 import sys
 
 import pytest
@@ -11,7 +13,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from paperloom.llm import near_dedup  # noqa: E402
+from paperloom.llm import near_dedup, suffix_dedup  # noqa: E402
 from test_corpus_operators import frame, prose  # noqa: E402
 
 
@@ -35,3 +37,40 @@ def test_near_duplicates_go_from_080(spark):
 def test_bands_seldom_miss_a_pair_at_the_threshold(percent):
     bands, rows = near_dedup.LAYOUTS[percent]
     assert (1 - (percent / 100) ** rows) ** bands < 8e-7
+
+
+def plain_cut(texts, words=51, length=400):
+    """What is left of each text without repeated runs of words and of bytes."""
+    data = [t.encode() for t in texts]
+    places = [[m.span() for m in re.finditer(rb"\S+", d)] for d in data]
+    windows = [[tuple(d.split()[i : i + words]) for i in range(len(p) - words + 1)] for d, p in zip(data, places)]
+    seen = collections.Counter(w for own in windows for w in own)
+    strings = collections.Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d, p, own in zip(data, places, windows):
+        gone = [False] * len(d)
+        for i, window in enumerate(own):
+            if seen[window] > 1:
+                low, high = p[i][0], p[i + words - 1][1]
+                gone[low:high] = [True] * (high - low)
+        for i in range(len(d) - length + 1):
+            if strings[d[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        out.append(bytes(x for x, g in zip(d, gone) if not g).decode())
+    return out
+
+
+@pytest.mark.parametrize("split", [suffix_dedup.SPLIT, 4])
+def test_repeated_passages_of_51_words_go(spark, split, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    rng = random.Random(12)
+    some = lambda n: prose(rng, n).split()
+    passage, small, brief, wide = some(55), ["ab"[rng.randrange(2)] for _ in range(60)], some(50), ["".join(rng.choice("klmn") for _ in range(30)) for _ in range(20)]
+    put = lambda x: " ".join(some(30) + x + some(25))
+    texts = [put(x) for x in (passage, passage[:52], passage[2:], small, small, brief, brief, wide, wide)]
+    texts += [put(passage), put(passage), put(passage + brief), " ".join(some(20)), "a\tb\n" + "  ".join(passage) + " é end"]
+    assert len(" ".join(passage)) < 400 and len(" ".join(wide)) > 400
+    want = plain_cut(texts)
+    assert want[0] != texts[0] and want[3] != texts[3] and want[5] == texts[5] and want[7] != texts[7]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_strings(spark, frame(spark, texts), "").collect()}
+    assert got == dict(enumerate(want))
