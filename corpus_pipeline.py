@@ -2,11 +2,14 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it
 kept.  All but the last return the columns of documents.
+
+Rows are told apart by id and text, and a null id is an id like others.  Of equal
+rows near_dedup keeps one; where two texts share an id, each is judged on its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import bpe_transducer, decontaminate, near_dedup, quality_classifier, suffix_dedup
@@ -24,10 +27,27 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_classifier.classify(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
 
 
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without ``rows`` (doc_id, text_hash)."""
+    return join_checked(docs, *_match(rows), "left_anti")
+
+
+def _match(rows: DataFrame) -> tuple[DataFrame, Column]:
+    named = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+    return named, same
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of least id."""
-    gone = materialise(near_dedup.deduplicate(docs, NEAR_PERCENT).where("not kept").select(F.col("doc_id").alias("_id")), "near-duplicates")
-    return join_checked(docs.select(*COLUMNS), gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """One row of each group of near-duplicates stays: that of least id, a null id last."""
+    docs = docs.select(*COLUMNS)
+    gone, again = near_dedup.redundant(docs, NEAR_PERCENT)
+    gone, again = materialise(gone, "near-duplicates", ids_only=True), materialise(again, "equal-rows", ids_only=True)
+    left = _without(docs, gone)
+    if again.isEmpty():
+        return left
+    once = join_checked(left, *_match(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return _without(left, again).unionByName(once)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +62,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window of words with a benchmark item go."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = materialise(found.where("contaminated").select(F.col("doc_id").alias("_id")), "contaminated")
-    return join_checked(docs.select(*COLUMNS), gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), with_hash=True)
+    gone = materialise(found.where("contaminated").select("doc_id", "text_hash").distinct(), "contaminated")
+    return _without(docs.select(*COLUMNS), gone)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,8 +102,8 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda x: x["n"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Words hit and items found in every document."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, with_hash: bool = False) -> DataFrame:
+    """Words hit and items found in every document; ``with_hash`` adds ``text_hash``."""
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
     # at most WINDOW - 1 different lengths
     short = sorted(r[0] for r in items.select(F.size(words(F.col("text"))).alias("n")).where((F.col("n") > 0) & (F.col("n") < WINDOW)).distinct().collect())
@@ -156,6 +156,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     return out.select(
         "doc_id",
+        *(["text_hash"] if with_hash else []),
         "n_words",
         n_hit.alias("n_hit"),
         F.size(items_of).cast("bigint").alias("n_items"),

@@ -211,11 +211,8 @@ def _linked(classes: DataFrame, members: DataFrame, texts: DataFrame, percent: i
         turn += 1
 
 
-def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Set size, component and whether it stands for its component, of every row.
-
-    Two sets are linked at a similarity of ``percent`` in a hundred or more.
-    """
+def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, cls, n_shingles, ...) of every row, and (cls, label) of all classes in shared buckets."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -235,11 +232,36 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     want = near.select("cls", F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
     texts = materialise(join_checked(rows, want, same, "inner").select("cls", "text").dropDuplicates(["cls"]), "candidate-texts")
-    labels = _linked(near, members, texts, percent)
+    return signed, _linked(near, members, texts, percent)
+
+
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Set size, component and whether it stands for its component, of every row.
 
+    Two sets are linked at a similarity of ``percent`` in a hundred or more.
+    """
+    signed, labels = _labelled(docs, percent)
+    full = signed.where("n_shingles > 0")
     named = signed.select("doc_id", "cls", "n_shingles").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = full.select("cls", "doc_id").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(labels, "cls", "left")
     least = least.groupBy(F.coalesce("label", "cls").alias("label")).agg(F.min("doc_id").alias("least"))
     out = named.join(least, "label", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def redundant(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash) of the rows that go if one row of each component stays,
+    and of those that stay but stand in several equal rows.
+
+    The row of least id stays, then that of least hash; a null id comes last.
+    """
+    signed, labels = _labelled(docs, percent)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    rows = materialise(signed.where("n_shingles > 0").groupBy("cls", "doc_id", "text_hash").agg(F.count("*").alias("n")).join(labels, "cls", "left"), "rows-of-components", ids_only=True)
+    rows = rows.withColumn("label", F.coalesce("label", "cls")).withColumn("row", row)
+    stays = rows.groupBy("label").agg(F.min("row").alias("stays"))
+    gone = rows.join(stays, "label").where(~F.col("row").eqNullSafe(F.col("stays"))).select("doc_id", "text_hash")
+    blank = signed.where("n_shingles = 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    again = rows.select("doc_id", "text_hash", "n").unionByName(blank).where("n > 1").select("doc_id", "text_hash")
+    return gone, again

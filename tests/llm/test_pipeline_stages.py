@@ -74,3 +74,21 @@ def test_repeated_passages_of_51_words_go(spark, split, monkeypatch):
     assert want[0] != texts[0] and want[3] != texts[3] and want[5] == texts[5] and want[7] != texts[7]
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_strings(spark, frame(spark, texts), "").collect()}
     assert got == dict(enumerate(want))
+
+
+def test_stages_tell_rows_apart_by_id_and_text(spark, tmp_path):
+    rng = random.Random(13)
+    a, b, c, d, e, f = (prose(rng, 100) for _ in range(6))
+    rows = [(1, a), (1, a), (1, a + " near"), (2, b), (2, a), (None, b), (None, c), (None, c + " near"), (None, c), (3, d), (4, None), (4, None), (5, ""), (None, None), (7, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, extra int")
+    left = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id", "text").collect()]
+    of_a, of_c = [x for x in left if x[1] in (a, a + " near")], [x for x in left if x[1] in (c, c + " near")]
+    assert len(of_a) == 1 and of_a[0][0] == 1 and len(of_c) == 1
+    rest = [x for x in left if x not in of_a + of_c]
+    assert collections.Counter(rest) == collections.Counter([(2, b), (3, d), (4, None), (5, ""), (None, None), (7, e)])
+
+    spark.createDataFrame([(1, f)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "see " + f), (None, a), (1, f), (1, b), (2, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 1) for i, t in rows], docs.schema)
+    left = [tuple(r) for r in corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path)).select("doc_id", "text").collect()]
+    assert collections.Counter(left) == collections.Counter([(None, a), (1, b), (2, c)])
