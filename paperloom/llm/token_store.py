@@ -227,7 +227,8 @@ def _objects(spark: SparkSession, folder: str) -> DataFrame:
 
 def _tree(recipes: DataFrame) -> DataFrame:
     """Nodes of the Merkle tree: (level, part, block, hash)."""
-    leaf = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary"), F.lit(b"\0"), F.col("chunks")), 256)
+    numbers = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "start", "n_tokens")
+    leaf = F.sha2(F.concat(numbers.cast("binary"), F.lit(b"\0"), F.col("chunks")), 256)
     ordered = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("_row")), lambda x: x["hash"]), ""), 256)
     blocks = (
         recipes.select("part", (F.col("place") / BLOCK).cast("bigint").alias("block"), F.struct("place", leaf.alias("hash")).alias("_row"))
@@ -288,6 +289,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return listed.select("doc_id", "start", "n_tokens", joined("steps").alias("ids_crc32"))
 
 
+def read_verified(spark: SparkSession, folder: str) -> DataFrame:
+    """``read``, once the manifest is found to hold."""
+    broken = verify(spark, folder).head()
+    if broken is not None:
+        raise ValueError(f"the manifest does not hold: {broken}")
+    return read(spark, folder)
+
+
 def store_and_read(docs: DataFrame) -> DataFrame:
-    """Write a new store in the shared folder and read it back."""
-    return read(docs.sparkSession, write(docs, new_folder(docs.sparkSession, "token-store")))
+    """Write a new store in the shared folder, verify its manifest and read it back."""
+    spark = docs.sparkSession
+    return read_verified(spark, write(docs, new_folder(spark, "token-store")))
