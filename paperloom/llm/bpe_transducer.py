@@ -10,8 +10,13 @@ Subsets of threads become states of a deterministic machine when a text first
 needs them.  What all threads of a subset would emit first is emitted at once,
 so the lookahead never exceeds the longest token.
 
+A piece that is a token as a whole is that token, though no merge may lead to it:
+the tiktoken library looks whole pieces up first.  Only other pieces are run
+through the machine.
+
 Decoding joins the bytes of tokens and runs an incremental UTF-8 machine over
-them, which holds back the bytes of an unfinished character between calls.
+them, which holds back the bytes of an unfinished character between calls.  What
+``decoded_sha256`` digests are the characters that come out of that machine.
 
 Nulls are empty texts: no ids, and the hash of no bytes.  Any length of text is
 taken; only the ids of one document are held at once.  Equal rows give equal
@@ -30,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import frugal, small_batches
 from .pretokens import Memo, pieces
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of what a worker remembers: machine states, token pairs, pieces.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 150_000, 400_000, 200_000
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 150_000, 200_000, 100_000
 _NO_TOKEN = -1
 _NEVER = 1 << 62
 
@@ -184,14 +189,9 @@ class StreamDecoder:
         return data, self.machine.decode(data, last)
 
 
-_of_worker: dict[str, Transducer] = {}
-
-
 def transducer(vocabulary: str = VOCABULARY) -> Transducer:
-    """One machine for each Python worker; it keeps what it has determinised."""
-    if vocabulary not in _of_worker:
-        _of_worker[vocabulary] = Transducer(read_ranks(public_tokenizers.path(vocabulary)))
-    return _of_worker[vocabulary]
+    """A machine of its own for each task: what it has determinised goes when the task ends."""
+    return Transducer(read_ranks(public_tokenizers.path(vocabulary)))
 
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_chars_decoded bigint"
@@ -213,8 +213,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool = False, doc
                 found = memoryview(data).cast("I")
                 stream, digest, chars = machine.decoder(), hashlib.sha256(), 0
                 for at in range(0, len(found) or 1, _PORTION):
-                    part, out = stream.feed(found[at : at + _PORTION], at + _PORTION >= len(found))
-                    digest.update(part)
+                    _, out = stream.feed(found[at : at + _PORTION], at + _PORTION >= len(found))
+                    digest.update(out.encode())
                     chars += len(out)
                 rows.append((key, len(found), hashlib.sha256(data).hexdigest(), digest.hexdigest(), chars) + ((found.tolist(),) if ids else ()))
             columns = list(zip(*rows)) if rows else [[]] * (6 if ids else 5)
@@ -223,4 +223,4 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool = False, doc
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names[: len(columns)])
 
     source = docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
-    return source.mapInArrow(run, SCHEMA_IDS if ids else SCHEMA)
+    return source.mapInArrow(frugal(run), SCHEMA_IDS if ids else SCHEMA)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A broadcast side may hold this many rows at most; beyond it a shuffle join is used.
 BROADCAST_ROWS = 50_000
-#: Rows in an Arrow batch handed to Python, so that a batch of long texts stays small.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch handed to Python; a text longer than that is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +24,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch; a smaller setting of the session is kept."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the rows and bytes of an Arrow batch; smaller settings of the session are kept."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Give memory that this Python worker no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # not this C library
+
+
+def frugal(run: Callable) -> Callable:
+    """``run`` over Arrow batches; when a task ends, its memory is given back.
+
+    Workers are used again by later stages and would else keep the most they ever had.
+    """
+
+    def to_the_end(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return to_the_end
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,3 +104,28 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int = BR
 def fold(column: str, parts: int):
     """crc32 of an id as text, modulo ``parts``: the fold that a row is in."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))
+
+
+def sample_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``df``: the first by a hash of ``key``.
+
+    Where there are many more, a cut-off of the hash that the count gives keeps all but
+    about twice as many out of the sort, in whatever partition they are.
+    """
+    n = df.count()
+    if n > 4 * rows:
+        within = 1 << 40
+        df = df.where(F.pmod(F.xxhash64(F.lit(17), key), F.lit(within)) < int(within * 2 * rows / n))
+    return df.orderBy(F.xxhash64(key), key).limit(rows)
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names for columns of our own that clash with none of ``taken``, in any case."""
+    low, out = {name.lower() for name in taken}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name in low:
+            name = f"_{name}"
+        low.add(name)
+        out.append(name)
+    return out
