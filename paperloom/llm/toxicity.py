@@ -1,17 +1,21 @@
 """Operator 2: toxicity by a linear classifier of character n-grams scaled by
 naive Bayes log-count ratios.
 
-The features of a text are the distinct byte n-grams of its lower-cased form, of
-the lengths ``SIZES``, hashed to ``2**BITS`` places.  Each is scaled by the log
-ratio of its smoothed share among toxic and other training texts; a logistic
-regression with an L2 penalty is fitted to the scaled features.
-
-Training reads a bounded sample: of the labelled rows that are not held out and
-have a text of ``MOST_CHARS`` characters at most, the first ``TRAIN_ROWS`` by a
-hash of the id.  Scores use the text alone.  Null and empty texts have no
-features and get the score of the intercept.  Without labels of both kinds every
-score is the share of toxic labels (0 without any).  Several labels of one
-document count as one, the highest.
+The features of a text are the distinct n-grams of its lower-cased characters, of
+the lengths ``SIZES``, hashed to places; ``linear`` scales them by the log ratio of
+their smoothed frequencies among toxic and other training texts and fits the
+weights.  How many places are taken and the calibration of the score come from
+``INNER`` folds inside the training rows, so a score of 0.7 means odds of 7 to 3
+on rows that the weights have not seen.
+
+Training reads a bounded sample: of the labelled rows that are not held out, the
+first ``TRAIN_ROWS`` by a hash of the id, with their whole texts.  Scores use the
+text alone.  Null and empty texts have no features and get the score of the
+intercept.  Without labels of both kinds every score is the share of toxic labels
+(0 without any).  Several labels of one document count as one, the highest; rows
+that share an id are trained on with the same label.  A row without an id is
+scored, but neither held out nor trained on.  Columns other than the id and the
+text are ignored.
 """
 
 from __future__ import annotations
@@ -21,99 +25,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from . import linear
+from .common import fold, frugal, sample_by_hash, small_batches
 
-FOLDS, HELD_OUT = 3, 1
-TRAIN_ROWS, MOST_CHARS = 4_000, 20_000
-SIZES, BITS = (3, 4, 5, 6), 18
-SMOOTHING, PENALTY, STEPS = 1.0, 1e-5, 150
-#: N-grams whose ratio tells less than this are left out.
-LEAST_RATIO = 0.5
+FOLDS, HELD_OUT, INNER = 3, 1, 5
+TRAIN_ROWS = 6_000
+SIZES = (3, 4, 5, 6)
 TOXIC_AT = 0.7
-_MIX = np.uint32(2654435761)
-
-
-def features(text: str | None, seen: np.ndarray) -> np.ndarray:
-    """Places of the distinct n-grams; ``seen`` is scratch of ``2**BITS`` zeros and left so."""
-    data = np.frombuffer(f" {text.lower()} ".encode() if text else b"", np.uint8).astype(np.uint32)
-    key = data
-    for size in range(2, max(SIZES) + 1):
-        if len(data) < size:
-            break
-        key = key[:-1] * np.uint32(0x01000193) + data[size - 1 :] + np.uint32(1)
-        if size in SIZES:
-            seen[(key * _MIX) >> np.uint32(32 - BITS)] = True
-    found = np.flatnonzero(seen)
-    seen[found] = False
-    return found
-
-
-class Model:
-    def __init__(self, weights: np.ndarray, intercept: float):
-        self.weights, self.intercept = weights, intercept
-
-    def score(self, found: np.ndarray) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.weights[found].sum() + self.intercept, -30, 30))))
-
-
-def train(rows: list[np.ndarray], toxic: np.ndarray) -> Model:
-    """Logistic regression on binary features times their log-count ratios."""
-    size, n = 1 << BITS, len(rows)
-    if n == 0 or toxic.all() or not toxic.any():
-        share = min(max(float(toxic.mean()) if n else 0.0, 1e-9), 1 - 1e-9)
-        return Model(np.zeros(size), float(np.log(share / (1 - share))))
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    of_toxic = np.bincount(flat[toxic[owner]], minlength=size) + SMOOTHING
-    of_other = np.bincount(flat[~toxic[owner]], minlength=size) + SMOOTHING
-    ratio = np.log(of_toxic / of_toxic.sum()) - np.log(of_other / of_other.sum())
-    ratio[np.abs(ratio) < LEAST_RATIO] = 0.0
-    told = ratio[flat] != 0
-    flat, owner = flat[told], owner[told]
-    x = ratio[flat]
-    scale = 1.0 / max(float(np.sqrt(np.bincount(owner, x * x, n).mean())), 1e-9)
-    y, w, b = toxic.astype(float), np.zeros(size), float(np.log(toxic.mean() / (1 - toxic.mean())))
-    x = x * scale
-    weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())  # both kinds weigh the same
-    moment, spread, mb, sb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    for step in range(1, STEPS + 1):  # Adam on the whole sample
-        odds = np.bincount(owner, x * w[flat], n) + b
-        off = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y) * weight
-        grad, gb = np.bincount(flat, x * off[owner], size) + PENALTY * w, off.sum()
-        moment, spread = 0.9 * moment + 0.1 * grad, 0.999 * spread + 0.001 * grad**2
-        mb, sb = 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb**2
-        c1, c2 = 1 - 0.9**step, 1 - 0.999**step
-        w -= 0.1 * (moment / c1) / (np.sqrt(spread / c2) + 1e-8)
-        b -= 0.1 * (mb / c1) / (np.sqrt(sb / c2) + 1e-8)
-    return Model(w * ratio * scale, float(b))
-
-
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """The model, fitted in one task on the bounded sample."""
+
+
+def features(text: str | None):
+    return linear.gram_places(text, SIZES, lower=True) if text else iter(())
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> linear.Model:
+    """The model: features of the bounded sample from the executors, weights from one task."""
     marks = (
         labels.where("doc_id is not null and toxic in (0, 1)")
         .select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(fold("doc_id", FOLDS) != HELD_OUT)
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"))
-        .limit(rows)
-    )
-    sample = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .where(F.length("text") <= MOST_CHARS)
-        .join(F.broadcast(marks), "doc_id")
-        .select("doc_id", "text", "toxic")
     )
+    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    sample = sample.join(F.broadcast(sample_by_hash(marks, "doc_id", rows)), "doc_id").select("doc_id", "toxic", "text")
+
+    def extract(batches):
+        seen = np.zeros(linear.PLACES, bool)
+        for batch in batches:
+            found = [linear.distinct(features(text.as_py()), seen).tobytes() for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "toxic", "places"])
+
+    def train(batches):
+        got, toxic, inner = [], [], []
+        for batch in batches:
+            for key, kind, places in zip(*(column.to_pylist() for column in batch.columns)):
+                got.append(np.frombuffer(places, np.int32))
+                toxic.append(bool(kind))
+                inner.append(inner_fold(key))
+        model = linear.fit(got, np.array(toxic, bool), np.array(inner, int), INNER)
+        yield pa.RecordBatch.from_arrays([pa.array([value]) for value in model.pack()], [part.split()[0] for part in linear.PACKED.split(", ")])
+
+    places = sample.mapInArrow(frugal(extract), "doc_id bigint, toxic int, places binary")
+    row = places.repartition(1).sortWithinPartitions("doc_id", "places").mapInArrow(frugal(train), linear.PACKED).first()
+    return linear.Model.unpack(*map(_plain, row)) if row else linear.constant(0.0, INNER)
+
+
+def inner_fold(doc_id: int) -> int:
+    """The fold of a training row among the training rows."""
+    return (doc_id * 2654435761 >> 7) % INNER
 
-    def run(batches):
-        got = sorted((row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns))), key=lambda r: (r[0], r[1]))
-        seen = np.zeros(1 << BITS, bool)
-        model = train([features(text, seen) for _, text, _ in got], np.array([bool(toxic) for *_, toxic in got], bool))
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()]), pa.array([model.intercept])], ["weights", "intercept"])
 
-    row = sample.coalesce(1).mapInArrow(run, "weights binary, intercept double").first()
-    return Model(np.frombuffer(row["weights"], np.float32), row["intercept"]) if row else train([], np.zeros(0, bool))
+def _plain(value):
+    return bytes(value) if isinstance(value, bytearray) else value
 
 
 def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -123,11 +87,11 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFra
     model = spark.sparkContext.broadcast(fit(docs, labels, rows))
 
     def run(batches):
-        seen = np.zeros(1 << BITS, bool)
+        scorer = linear.Scorer(model.value)
         for batch in batches:
-            found = [model.value.score(features(value.as_py(), seen)) for value in batch.column(2)]
+            found = [scorer.probability(features(value.as_py())) for value in batch.column(2)]
             columns = [batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array([int(x >= TOXIC_AT) for x in found], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.col("text").cast("string"))
-    return keyed.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return keyed.mapInArrow(frugal(run), "doc_id bigint, held_out boolean, score double, predicted int")
