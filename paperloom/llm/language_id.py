@@ -1,17 +1,21 @@
 """Operator 5: language by segmentation-marginalised unigrams.
 
-Each language has probabilities of the pieces of a fixed public vocabulary, plus
-a small floor for single characters.  The probability of a word is the sum over
-all its segmentations into pieces, found by the forward algorithm; a text's is
-the product over its words, lower-cased runs of letters.  The piece probabilities
-are fitted by expectation maximisation: forward and backward sums give expected
-piece counts over all segmentations of the training words.
-
-Training reads a bounded sample: of the rows with a language and a text of
-``MOST_CHARS`` characters at most that are not held out, the first
-``TRAIN_ROWS`` by a hash of the id.  The score is the posterior of the language.
-A text that is null or has no letter gets ``und`` and 0.  If nothing can be
-learned, every text is ``und``.  Ties go to the language first in order.
+Each language has probabilities of the pieces of a fixed public vocabulary, all of
+them, plus a small floor for single characters.  The probability of a word is the
+sum over all its segmentations into pieces, found by the forward algorithm; a
+text's is the product over its words, lower-cased runs of letters with the marks
+that follow them, whole however long they are.  The piece probabilities are fitted
+by expectation maximisation: forward and backward sums give expected piece counts
+over all segmentations of the training words.
+
+Training reads a bounded sample: of the rows with a language and a text that are
+not held out, the first ``ROWS_OF_LANG`` of each language by a hash of the id, of at
+most ``MOST_LANGS`` languages, those with most rows.  Rare languages are so learned
+from all rows they have.  The score is the posterior of the language among those
+learned.  A text that is null or has no letter gets ``und`` and 0; a number such as
+a half or a Roman numeral sign is no letter.  If nothing can be learned, every text
+is ``und``.  Ties go to the language first in order.  A row without an id is scored,
+but neither held out nor trained on.  Columns but id, text and language are ignored.
 """
 
 from __future__ import annotations
@@ -22,24 +26,29 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, frugal, small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 4, 2
-TRAIN_ROWS, MOST_CHARS, ROUNDS = 1_200, 20_000, 3
-MOST_WORDS = 300_000
-#: Pieces longer than this are not used; longer words are scored in parts of ``LONGEST_WORD``.
-LONGEST_PIECE, LONGEST_WORD = 8, 60
+ROWS_OF_LANG, MOST_LANGS, ROUNDS = 300, 400, 3
+#: Words that a worker remembers, and the longest of them.
+MOST_WORDS, MEMO_CHARS = 300_000, 64
 UNKNOWN, FLOOR = "und", 1e-7
-_WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+#: Where all characters are of these, the letters are ``_LETTERS`` and no mark occurs.
+_OTHER = re.compile(r"[^\x00-ɏ‐-⁞€]")
+_PLAIN, _FULL = re.compile(f"[{_LETTERS}]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _START = "▁"
+_LIFT = 1e100
 
 
 def words(text: str) -> list[str]:
-    return [_START + word[i : i + LONGEST_WORD] for word in _WORD.findall(text.lower()) for i in range(0, len(word), LONGEST_WORD)]
+    text = text.lower()
+    return [_START + word for word in (_FULL if _OTHER.search(text) else _PLAIN).findall(text)]
 
 
 def vocabulary_pieces(name: str = VOCABULARY) -> set[str]:
@@ -47,30 +56,56 @@ def vocabulary_pieces(name: str = VOCABULARY) -> set[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return {piece for piece in found if len(piece) <= LONGEST_PIECE}
-
-
-def _spans(word: str, known) -> list[list[tuple[int, str]]]:
-    """For each end in ``word``: starts and strings of the pieces that end there."""
-    return [[(i, word[i:j]) for i in range(max(0, j - LONGEST_PIECE), j) if j - i == 1 or word[i:j] in known] for j in range(1, len(word) + 1)]
-
-
-def expected_counts(counts: dict[str, int], known, p: dict[str, float]) -> Counter:
-    """Expected piece counts over all segmentations of the words."""
+    return {piece for piece in found if piece}
+
+
+def _sums(word: str, p: dict[str, float], longest: int, backwards: bool) -> tuple[list[float], list[int]]:
+    """Sums over the segmentations of every beginning of ``word`` (of every end, if ``backwards``).
+
+    The value at a place is the first list's times ``_LIFT`` to the power of minus the
+    second's, which keeps long words within range.
+    """
+    n, get = len(word), p.get
+    sums, lifts, lift = [0.0] * (n + 1), [0] * (n + 1), 0
+    order = range(n, -1, -1) if backwards else range(n + 1)
+    at = list(order)
+    sums[at[0]] = 1.0
+    for k in range(1, n + 1):
+        j, total = at[k], 0.0
+        for back in range(1, min(longest, k) + 1):
+            i = at[k - back]
+            value = get(word[j:i] if backwards else word[i:j], FLOOR if back == 1 else 0.0)
+            if value:
+                total += sums[i] * value
+        sums[j], lifts[j] = total, lift
+        if total < 1 / _LIFT:
+            low = range(max(0, k - longest + 1), k + 1)
+            if max(sums[at[x]] for x in low) < 1 / _LIFT:
+                lift += 1
+                for x in low:
+                    sums[at[x]] *= _LIFT
+                    lifts[at[x]] = lift
+    return sums, lifts
+
+
+def expected_counts(counts: dict[str, int], p: dict[str, float]) -> Counter:
+    """Expected piece counts over all segmentations of the words; ``p`` holds every piece that may occur."""
     total: Counter = Counter()
+    longest = max(map(len, p), default=1)
     for word, times in counts.items():
-        spans, n = _spans(word, known), len(word)
-        forward = [1.0] + [0.0] * n
+        n = len(word)
+        forward, up = _sums(word, p, longest, False)
+        backward, down = _sums(word, p, longest, True)
+        if forward[n] <= 0:
+            continue
         for j in range(1, n + 1):
-            forward[j] = sum(forward[i] * p.get(piece, FLOOR) for i, piece in spans[j - 1])
-        backward = [0.0] * n + [1.0]
-        for j in range(n, 0, -1):
-            for i, piece in spans[j - 1]:
-                backward[i] += backward[j] * p.get(piece, FLOOR)
-        if forward[n] > 0:
-            for j in range(1, n + 1):
-                for i, piece in spans[j - 1]:
-                    total[piece] += times * forward[i] * p.get(piece, FLOOR) * backward[j] / forward[n]
+            for i in range(max(0, j - longest), j):
+                piece = word[i:j]
+                value = p.get(piece, FLOOR if j - i == 1 else 0.0)
+                if value:
+                    power = up[n] - up[i] - down[j]
+                    part = forward[i] * value * backward[j] / forward[n]
+                    total[piece] += times * (part if power == 0 else part * _LIFT**power)
     return total
 
 
@@ -79,16 +114,17 @@ def train(texts: list[tuple[str, str]], known, rounds: int = ROUNDS) -> dict[str
     by_lang: dict[str, Counter] = {}
     for lang, text in texts:
         by_lang.setdefault(lang, Counter()).update(words(text))
-    model = {}
+    model, longest = {}, max(map(len, known), default=1)
     for lang, counts in sorted(by_lang.items()):
         start: Counter = Counter()
         for word, times in counts.items():
-            for ends in _spans(word, known):
-                for _, piece in ends:
-                    start[piece] += times
+            for j in range(1, len(word) + 1):
+                for i in range(max(0, j - longest), j):
+                    if j - i == 1 or word[i:j] in known:
+                        start[word[i:j]] += times
         p = _normalised(start)
         for _ in range(rounds):
-            p = _normalised(expected_counts(counts, known, p))
+            p = _normalised(expected_counts(counts, p))
         if p:
             model[lang] = p
     return model
@@ -110,6 +146,10 @@ class Scorer:
                 self.piece.setdefault(piece, len(self.piece))
         #: A row for each piece, then the row of unknown characters and that of no piece.
         self.p = np.full((len(self.piece) + 2, len(self.langs)), FLOOR)
+        self.p[: len(self.piece)] = 0.0
+        for piece, row in self.piece.items():
+            if len(piece) == 1:
+                self.p[row] = FLOOR
         self.p[-1] = 0.0
         for k, lang in enumerate(self.langs):
             for piece, value in model[lang].items():
@@ -123,21 +163,27 @@ class Scorer:
         self.logs = np.zeros((0, len(self.langs)))
 
     def log_words(self, found: list[str]) -> np.ndarray:
-        """Forward algorithm over words of one length, all languages at once."""
+        """Forward algorithm over words of one length, all languages at once.
+
+        Only the sums that a piece may still start from are held.
+        """
         n, get = len(found[0]), self.piece.get
         unknown, none = len(self.piece), len(self.piece) + 1
-        forward = np.zeros((n + 1, len(found), len(self.langs)))
-        forward[0] = 1.0
+        window = [np.ones((len(found), len(self.langs)))]
         lift = np.zeros((len(found), 1))
         for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                other = unknown if j - i == 1 else none
-                forward[j] += forward[i] * self.p[[get(word[i:j], other) for word in found]]
-            low = forward[j].max(1) < 1e-120
-            if low.any():  # keep long words within range
-                forward[: j + 1, low] *= 1e120
-                lift[low] += np.log(1e120)
-        return np.log(np.maximum(forward[n], 1e-300)) - lift
+            total = np.zeros_like(window[0])
+            for back in range(1, len(window) + 1):
+                rows = [get(word[j - back : j], unknown if back == 1 else none) for word in found]
+                if back == 1 or any(row != none for row in rows):
+                    total += window[-back] * self.p[rows]
+            window = [*window[-self.longest + 1 :], total] if self.longest > 1 else [total]
+            low = total.max(1) < 1 / _LIFT
+            if low.any():
+                for held in window:
+                    held[low] *= _LIFT
+                lift[low] += np.log(_LIFT)
+        return np.log(np.maximum(window[-1], 1e-300)) - lift
 
     def learn(self, found) -> None:
         """Score the words that are not remembered yet."""
@@ -158,41 +204,59 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         counts = [Counter(words(text)) if text and self.langs else {} for text in texts]
-        self.learn(set().union(*counts))
+        self.learn({word for found in counts for word in found if len(word) <= MEMO_CHARS})
         out = []
         for found in counts:
             if not found:
                 out.append((UNKNOWN, 0.0))
                 continue
-            rows = np.fromiter(map(self.row.__getitem__, found), np.int64, len(found))
-            total = np.fromiter(found.values(), float, len(found)) @ self.logs[rows]
+            known = [word for word in found if len(word) <= MEMO_CHARS]
+            rows = np.fromiter(map(self.row.__getitem__, known), np.int64, len(known))
+            total = np.fromiter(map(found.__getitem__, known), float, len(known)) @ self.logs[rows]
+            if len(known) < len(found):
+                total = total + sum(times * self.log_words([word])[0] for word, times in found.items() if len(word) > MEMO_CHARS)
             k = int(total.argmax())
             out.append((self.langs[k], float(1.0 / np.exp(np.maximum(total - total[k], -700.0)).sum())))
         return out
 
 
-def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, dict[str, float]]:
-    """The model, fitted in one task on the bounded sample."""
-    sample = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-        .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= MOST_CHARS) & (fold("doc_id", FOLDS) != HELD_OUT))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text", "lang"))
-        .limit(rows)
-        .select("lang", "text")
-    )
+def _sample(docs: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, lang) of the training rows; no text moves to find them.
+
+    A cut-off of the hash, from the count of each language, leaves about twice as many
+    as are wanted before they are ranked, however many rows a language has.
+    """
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").isNotNull().alias("has_text"))
+    named = named.where(F.col("lang").isNotNull() & F.col("has_text") & (fold("doc_id", FOLDS) != HELD_OUT)).select("doc_id", "lang")
+    most = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    within = 1 << 40
+    near = named.join(F.broadcast(most), "lang").where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(within)) < F.lit(float(within) * 2 * rows) / F.col("n"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    return near.distinct().withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= rows).select("doc_id", "lang")
+
+
+def fit(docs: DataFrame, rows: int = ROWS_OF_LANG) -> dict[str, dict[str, float]]:
+    """The model: one task for each language, on its bounded sample."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
+    sample = texts.join(F.broadcast(_sample(docs, rows)), ["doc_id", "lang"]).select("lang", "text")
 
     def run(batches):
-        texts = [row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        for lang, p in train(texts, vocabulary_pieces()).items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(p)), pa.array(list(p)), pa.array(list(p.values()))], ["lang", "piece", "p"])
+        by_lang: dict[str, list] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by_lang.setdefault(lang, []).append((lang, text))
+        known = vocabulary_pieces() if by_lang else set()
+        for lang in sorted(by_lang):
+            for _, p in train(sorted(by_lang[lang]), known).items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(p)), pa.array(list(p)), pa.array(list(p.values()))], ["lang", "piece", "p"])
 
     model: dict[str, dict[str, float]] = {}
-    for lang, piece, p in sample.coalesce(1).mapInArrow(run, "lang string, piece string, p double").collect():
+    for lang, piece, p in sample.repartition("lang").mapInArrow(frugal(run), "lang string, piece string, p double").collect():
         model.setdefault(lang, {})[piece] = p
     return model
 
 
-def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+def identify(docs: DataFrame, rows: int = ROWS_OF_LANG) -> DataFrame:
     """Language and score of every document."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -206,4 +270,4 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.col("text").cast("string"))
-    return keyed.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return keyed.mapInArrow(frugal(run), "doc_id bigint, held_out boolean, lang_pred string, score double")
