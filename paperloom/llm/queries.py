@@ -55,7 +55,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     scored = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "evidence", "host_posterior", "path_posterior", "score", "kept")
+    return scored.select("doc_id", *quality_classifier.ADDED)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
