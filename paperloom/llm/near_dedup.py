@@ -7,13 +7,16 @@ each other in all bands with a chance under one in a million.  ``LAYOUTS`` has t
 bands and the values in each by the threshold: 85 percent is that of the op4 query,
 80 that of the stage of the pipeline.
 
-Shingle hashes are also folded into an odd sketch, a bitmap of parities.  Equal
-shingles cancel in the xor of two sketches, so its population count never exceeds
-the symmetric difference of the sets, and for sets of up to a few thousand
-shingles comes close to it.  The similarity bounds that difference, so the sketch
-drops almost every candidate below the threshold and none above it.  All of a
-set is folded, not just its MinHash samples: 120 samples cannot tell 0.80 from
-0.85.  What is left is confirmed on the full sets, in whole numbers.
+The MinHash samples of a set are folded into an odd sketch, a bitmap of parities of
+``SAMPLE_BITS`` bits.  Equal samples cancel in the xor of two sketches, so from its
+population count the similarity is estimated (``estimate``).  Candidates whose
+estimate is so low that a pair at the threshold falls under it with a chance below
+``MISS`` are dropped (``least_estimate``).  A hundred samples cannot tell 0.80 from
+0.85, so a second odd sketch folds every shingle of the set.  Its population count
+never exceeds the symmetric difference of the sets, which the similarity bounds:
+it drops almost every candidate below the threshold and none above it.  What is
+left is confirmed on the full sets, in whole numbers, shingles being compared by
+64-bit hashes.
 
 Only components are asked for, so within a bucket not all pairs are compared.
 First its least class is compared with all others.  In buckets that then still
@@ -32,16 +35,18 @@ kept.  Columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh3_64_intdigest
 
-from .common import is_small, join_checked, materialise, small_batches
+from .common import frugal, is_small, join_checked, materialise, small_batches
 
 SHINGLE, PERCENT = 5, 85
-SKETCH_BITS = 2048
+SKETCH_BITS, SAMPLE_BITS, MISS = 2048, 512, 1e-7
 LAYOUTS = {85: (24, 5), 80: (27, 4)}
 _HASHES, _MOST_ROWS = max(b * r for b, r in LAYOUTS.values()), max(r for _, r in LAYOUTS.values())
 PIVOTS, TRIES, STRAYS = 8, 2, 1024
@@ -84,12 +89,37 @@ def bands(least: np.ndarray, n: int) -> np.ndarray:
     return _mixed((rows * _POWERS[None, : rows.shape[1]]).sum(1, dtype=np.uint64) + np.arange(n, dtype=np.uint64)).view(np.int64)
 
 
-def odd_sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of how many shingles fall on each bit, as 64-bit words."""
-    odd = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def odd_sketch(members: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Parities of how many members fall on each bit, as 64-bit words."""
+    odd = np.bincount((members % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def sample_sketch(least: np.ndarray) -> np.ndarray:
+    """The odd sketch of MinHash samples, each told apart by which hash it is the least of."""
+    return odd_sketch(_mixed(least + np.arange(len(least), dtype=np.uint64) * _POWERS[1]), SAMPLE_BITS)
+
+
+def estimate(apart: int, samples: int) -> float:
+    """The similarity that a population count of the xor of two sample sketches speaks for."""
+    share = 1 - 2 * apart / SAMPLE_BITS
+    return 1 + SAMPLE_BITS / (4 * samples) * math.log(share) if share > 0 else -math.inf
+
+
+def least_estimate(samples: int, percent: int) -> tuple[float, int]:
+    """The estimate below which candidates go, and the population count that has it.
+
+    Of the samples of two sets at the threshold more than ``d`` differ with a chance below
+    ``MISS``; samples that differ set two bits each at most.
+    """
+    differ, tail, d = 1 - percent / 100, 1.0, -1
+    while tail >= MISS:
+        d += 1
+        tail -= math.comb(samples, d) * differ**d * (1 - differ) ** (samples - d)
+    most = min(2 * d, SAMPLE_BITS // 2 - 1)
+    return estimate(most, samples), most
+
+
 def _signatures(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, text_hash, class, n_shingles, bands, sketch) of every row."""
     n_bands, n_rows = LAYOUTS[percent]
@@ -105,18 +135,21 @@ def _signatures(docs: DataFrame, percent: int) -> DataFrame:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([bands(m, n_bands) if m is not None else [] for m in least], pa.list_(pa.int64())),
                 pa.array([odd_sketch(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                pa.array([sample_sketch(m) if m is not None else [] for m in least], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "cls", "n_shingles", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "cls", "n_shingles", "bands", "sketch", "samples"])
 
-    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, cls binary, n_shingles bigint, bands array<bigint>, sketch array<bigint>")
+    return docs.mapInArrow(frugal(run), "doc_id bigint, text_hash bigint, cls binary, n_shingles bigint, bands array<bigint>, sketch array<bigint>, samples array<bigint>")
 
 
 def _may_reach(a: str, b: str, percent: int) -> Column:
     """Whether two classes can reach the threshold, by sizes and sketches."""
     na, nb = F.col(f"{a}_size"), F.col(f"{b}_size")
-    apart = sum((F.bit_count(F.get(F.col(f"{a}_sketch"), k).bitwiseXOR(F.get(F.col(f"{b}_sketch"), k))) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    apart = lambda of, bits: sum((F.bit_count(F.get(F.col(f"{a}_{of}"), k).bitwiseXOR(F.get(F.col(f"{b}_{of}"), k))) for k in range(bits // 64)), F.lit(0))
+    _, most = least_estimate(math.prod(LAYOUTS[percent]), percent)
+    near = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart("samples", SAMPLE_BITS) <= most)
     # 100 * both >= percent * (na + nb - both) bounds the difference na + nb - 2 * both
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
+    return near & ((100 + percent) * apart("sketch", SKETCH_BITS) <= (100 - percent) * (na + nb))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -142,7 +175,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 yes.append(100 * both >= percent * (len(first) + len(second) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    return with_texts.mapInArrow(run, "a binary, b binary")
+    return with_texts.mapInArrow(frugal(run), "a binary, b binary")
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
@@ -168,15 +201,15 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after more links (a, b) between labelled classes."""
     of = lambda x: labels.select(F.col("cls").alias(x), F.col("label").alias(f"{x}_label"))
     ends = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).where("a <> b").distinct()
-    moved = components(ends, "merged-labels").select(F.col("cls").alias("label"), F.col("label").alias("to"))
+    moved = components(materialise(ends, "label-links", ids_only=True), "merged-labels").select(F.col("cls").alias("label"), F.col("label").alias("to"))
     out = join_checked(labels, moved, "label", "left").select("cls", F.coalesce("to", "label").alias("label"))
     return materialise(out, "labels", ids_only=True)
 
 
 def _linked(classes: DataFrame, members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(cls, label) of all classes in shared buckets."""
-    about = classes.select("cls", "sketch", F.col("n_shingles").alias("size"))
-    of = lambda x: about.select(F.col("cls").alias(x), F.col("sketch").alias(f"{x}_sketch"), F.col("size").alias(f"{x}_size"))
+    about = classes.select("cls", "sketch", "samples", F.col("n_shingles").alias("size"))
+    of = lambda x: about.select(F.col("cls").alias(x), F.col("sketch").alias(f"{x}_sketch"), F.col("samples").alias(f"{x}_samples"), F.col("size").alias(f"{x}_size"))
     stars = members.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
     near = stars.join(of("b"), "b").join(of("a"), "a").where(_may_reach("a", "b", percent)).select("a", "b")
     links = materialise(_confirm(near, texts, percent), "links", ids_only=True)
@@ -220,13 +253,13 @@ def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     signed = materialise(_signatures(rows, percent), "signatures")
     full = signed.where("n_shingles > 0")
     classes = materialise(
-        full.groupBy("cls", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        full.groupBy("cls", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("samples").alias("samples")),
         "classes",
     )
     banded = classes.select(F.explode("bands").alias("bucket"), "cls")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cls").alias("first")).where("n > 1").select("bucket", "first")
     members = materialise(banded.join(shared, "bucket"), "buckets")  # (bucket, cls, first)
-    near = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "n_shingles", "sketch", "row")
+    near = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "n_shingles", "sketch", "samples", "row")
     near = materialise(near, "near-classes")
 
     want = near.select("cls", F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
