@@ -12,6 +12,8 @@ So every suffix matters by its first ``LENGTH`` bytes, its window, alone.
    come from prefix sums.  From each suffix that stands next to an equal one,
    binary search over the prefix hashes finds how far both go on alike, and that
    whole common extension is compared byte by byte: a collision removes nothing.
+   Runs of one anchor hash that follow each other, as in periodic text, are one run
+   of up to ``RUN_WINDOWS`` windows: their bytes overlap almost wholly.
 3. An anchor hash with over ``SPLIT`` occurrences is dealt to several tasks.  Each
    settles what repeats within its share; the distinct windows of the shares are
    then grouped by digest, which settles the rest.
@@ -28,7 +30,8 @@ words a passage is caught however few bytes its words take; what goes is then al
 from the first byte of its first word to the last byte of its last.
 
 Rows are told apart by id and text; equal rows are copies of each other like any
-copies.  All columns of the input are carried through.
+copies.  All columns of the input are carried through but those of the names that
+are added: ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` and ``kept_sha256``.
 """
 
 from __future__ import annotations
@@ -44,12 +47,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .common import join_checked, materialise, small_batches
+from .common import free_names, frugal, join_checked, materialise, small_batches
 
 LENGTH, GRAM = 400, 64
-SPLIT = 4_096
-#: Windows that a task sorts at once, and starts of windows of a text hashed at once.
-BLOCK_WINDOWS, SEGMENT = 1 << 20, 1 << 20
+SPLIT = 1_024
+#: Windows that a task sorts at once, starts of windows of a text hashed at once, and windows of a run.
+BLOCK_WINDOWS, SEGMENT, RUN_WINDOWS = 1 << 19, 1 << 20, 1 << 16
+#: Bytes of runs that a task holds before it hands them on.
+EMIT_BYTES = 4 << 20
 #: Bits of the filter (a power of two), and the repeated hashes that it takes at most.
 FILTER_BITS = 1 << 26
 FILTER_HASHES = FILTER_BITS // 16
@@ -142,6 +147,18 @@ def anchored_runs(data: np.ndarray, unit: Unit = BYTES):
     return tuple(map(np.concatenate, (prints, firsts, counts)))
 
 
+def merged_runs(prints: np.ndarray, firsts: np.ndarray, counts: np.ndarray):
+    """Runs that follow each other with one anchor hash as one, of ``RUN_WINDOWS`` windows or one run
+    at most; and how many each is made of."""
+    if not len(prints):
+        return prints, firsts, counts, counts
+    new = np.append(True, prints[1:] != prints[:-1])
+    group = np.flatnonzero(new)[np.cumsum(new) - 1]
+    new[1:] |= (firsts[1:] - firsts[group[1:]]) // RUN_WINDOWS != (firsts[:-1] - firsts[group[:-1]]) // RUN_WINDOWS
+    start = np.flatnonzero(new)
+    return prints[start], firsts[start], np.add.reduceat(counts, start), np.diff(np.append(start, len(prints)))
+
+
 def repeated_runs(parts: list[bytes], windows: np.ndarray, unit: Unit = BYTES):
     """Which windows of a block repeat within it.
 
@@ -214,11 +231,16 @@ def _ranges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _KEY = ["rid", "rid2"]
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+
+
+def _keys(text: Column) -> dict[str, Column]:
+    return {"rid": F.xxhash64("doc_id", text), "rid2": F.hash(text, "doc_id")}
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"text": text}).withColumns({"rid": F.xxhash64("doc_id", "text"), "rid2": F.hash("text", "doc_id")})
+    return docs.select(*(key.alias(name) for name, key in _keys(text).items()), text.alias("text"))
 
 
 def _long(unit: Unit) -> Column:
@@ -230,15 +252,17 @@ def _anchors(rows: DataFrame, unit: Unit) -> DataFrame:
     def run(batches):
         for batch in batches:
             for r, r2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                prints, _, _ = anchored_runs(units(text.as_py(), unit), unit)
+                prints, _, _, made_of = merged_runs(*anchored_runs(units(text.as_py(), unit), unit))
                 if len(prints):
+                    prints = np.repeat(prints, np.minimum(made_of, 2))  # within such a run windows may repeat
                     n = len(prints)
                     yield pa.RecordBatch.from_arrays([pa.array([r] * n, pa.int64()), pa.array([r2] * n, pa.int32()), pa.array(prints)], ["rid", "rid2", "print"])
 
-    return rows.select("rid", "rid2", "text").where(_long(unit)).mapInArrow(run, "rid bigint, rid2 int, print bigint")
+    return rows.select("rid", "rid2", "text").where(_long(unit)).mapInArrow(frugal(run), "rid bigint, rid2 int, print bigint")
 
 
-_PART = "rid bigint, rid2 int, print bigint, first bigint, windows bigint, bytes binary"
+#: ``alone``: whether windows of the run may repeat within it
+_PART = "rid bigint, rid2 int, print bigint, first bigint, windows bigint, bytes binary, alone boolean"
 
 
 def _emit(bitmap, unit: Unit):
@@ -247,11 +271,11 @@ def _emit(bitmap, unit: Unit):
     def run(batches):
         bits = None if bitmap is None else bitmap.value
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             listed = batch.column(3).to_pylist() if bits is None else None
             for i, (r, r2, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))):
                 data = units(text.as_py(), unit)
-                prints, firsts, counts = anchored_runs(data, unit)
+                prints, firsts, counts, made_of = merged_runs(*anchored_runs(data, unit))
                 if bits is None:
                     wanted = np.isin(prints, np.array(listed[i], np.int64))
                 else:
@@ -259,18 +283,19 @@ def _emit(bitmap, unit: Unit):
                     wanted = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 for k in np.flatnonzero(wanted).tolist():
                     first, n = int(firsts[k]), int(counts[k])
-                    rows.append((r, r2, int(prints[k]), first, n, data[first : first + n + unit.length - 1].tobytes()))
-                if len(rows) > 20_000:
-                    yield _batch(rows)
-                    rows = []
+                    rows.append((r, r2, int(prints[k]), first, n, data[first : first + n + unit.length - 1].tobytes(), bool(made_of[k] > 1)))
+                    held += len(rows[-1][5])
+                    if held > EMIT_BYTES:
+                        yield _batch(rows)
+                        rows, held = [], 0
             if rows:
                 yield _batch(rows)
 
     def _batch(rows):
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["rid", "rid2", "print", "first", "windows", "bytes"])
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["rid", "rid2", "print", "first", "windows", "bytes", "alone"])
 
-    return run
+    return frugal(run)
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -294,7 +319,7 @@ def _resolve(batches, unit: Unit):
         windows = np.array([r[5] for r in rows], np.int64)
         proven, leader, first, start, whole = repeated_runs([r[6] for r in rows], windows, unit)
         out = []
-        for i, (r, r2, _, _, base, n, _, shares) in enumerate(rows):
+        for i, (r, r2, _, _, base, n, _, shares, _) in enumerate(rows):
             mine = proven[first[i] : first[i] + n]
             out += [(r, r2, base + int(a), base + int(b), None, True) for a, b in zip(*_ranges(mine))]
             if shares > 1:
@@ -306,10 +331,14 @@ def _resolve(batches, unit: Unit):
 
     held, size, last = [], 0, None
     group: list = []
+
+    def to_settle():
+        return len(group) > 1 or (group and (group[0][7] > 1 or group[0][8]))
+
     for batch in batches:
         for row in zip(*(column.to_pylist() for column in batch.columns)):
             if row[2:4] != last:
-                if len(group) > 1 or (group and group[0][7] > 1):
+                if to_settle():
                     held += group
                     size += sum(r[5] for r in group)
                     if size >= BLOCK_WINDOWS:
@@ -317,7 +346,7 @@ def _resolve(batches, unit: Unit):
                         held, size = [], 0
                 group, last = [], row[2:4]
             group.append(row)
-    if len(group) > 1 or (group and group[0][7] > 1):
+    if to_settle():
         held += group
     if held:
         yield from settle(held)
@@ -327,7 +356,7 @@ def repeated_spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     """(rid, rid2, spans): sorted ranges of starts of repeated windows, for rows that have any."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = _keyed(docs).select("rid", "rid2", "text")
+    rows = _keyed(docs)
     anchors = materialise(_anchors(rows, unit), "anchors")
     again = materialise(anchors.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"), "repeated-anchors")
     long = rows.where(_long(unit))
@@ -342,11 +371,11 @@ def repeated_spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
         join_checked(parts, hot, "print", "left")
         .withColumn("shares", shares)
         .withColumn("share", F.pmod(F.xxhash64("rid", "rid2", "first"), F.col("shares")))
-        .select("rid", "rid2", "print", "share", "first", "windows", "bytes", "shares")
+        .select("rid", "rid2", "print", "share", "first", "windows", "bytes", "shares", "alone")
         .repartition("print", "share")
         .sortWithinPartitions("print", "share")
     )
-    found = dealt.mapInArrow(lambda batches: _resolve(batches, unit), "rid bigint, rid2 int, low bigint, high bigint, digest binary, settled boolean")
+    found = dealt.mapInArrow(frugal(lambda batches: _resolve(batches, unit)), "rid bigint, rid2 int, low bigint, high bigint, digest binary, settled boolean")
     found = materialise(found, "settled-windows")
     settled = found.where(F.col("digest").isNull()).select(*_KEY, "low", "high")
     if hot.isEmpty():
@@ -409,12 +438,19 @@ def remove_repeats(docs: DataFrame, as_text: bool = False, words: int | None = N
     ``kept`` are the bytes left; ``as_text`` drops those that are parts of a cut character.
     With ``words``, repeated runs of so many words go as well, however few bytes they have.
     """
-    added = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "rid", "rid2", "spans", "word_spans"]
-    docs = docs.drop(*added)
-    joined = _keyed(docs).join(repeated_spans(docs), _KEY, "left")
+    docs = docs.drop(*ADDED)
+    key, key2, spans, word_spans, cut = free_names(docs.columns, "rid", "rid2", "spans", "word_spans", "cut")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    of = _keys(text)
+    joined = docs.withColumns({key: of["rid"], key2: of["rid2"]})
+
+    def found(unit: Unit, name: str) -> DataFrame:
+        return repeated_spans(docs.select("doc_id", "text"), unit).select(F.col("rid").alias(key), F.col("rid2").alias(key2), F.col("spans").alias(name))
+
+    joined = joined.join(found(BYTES, spans), [key, key2], "left")
     if words is None:
-        joined = joined.withColumn("word_spans", F.lit(None).cast("array<struct<low:bigint,high:bigint>>"))
+        joined = joined.withColumn(word_spans, F.lit(None).cast("array<struct<low:bigint,high:bigint>>"))
     else:
-        joined = joined.join(repeated_spans(docs, of_words(words)).withColumnRenamed("spans", "word_spans"), _KEY, "left")
-    cut = joined.drop(*_KEY).withColumn("_cut", _cut(as_text, words)("text", "spans", "word_spans"))
-    return cut.drop("spans", "word_spans").select("*", "_cut.*").drop("_cut")
+        joined = joined.join(found(of_words(words), word_spans), [key, key2], "left")
+    joined = joined.withColumn(cut, _cut(as_text, words)(text, spans, word_spans))
+    return joined.select(*docs.columns, *(F.col(f"{cut}.{name}").alias(name) for name in ADDED))
