@@ -50,7 +50,7 @@ from xxhash import xxh3_64_intdigest
 from .common import free_names, frugal, join_checked, materialise, small_batches
 
 LENGTH, GRAM = 400, 64
-SPLIT = 1_024
+SPLIT = 4_096
 #: Windows that a task sorts at once, starts of windows of a text hashed at once, and windows of a run.
 BLOCK_WINDOWS, SEGMENT, RUN_WINDOWS = 1 << 19, 1 << 20, 1 << 16
 #: Bytes of runs that a task holds before it hands them on.
