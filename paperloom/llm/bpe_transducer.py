@@ -6,8 +6,8 @@ is a nondeterministic transducer: a thread holds the last whole token, the place
 in the trie of tokens that the bytes since then have reached, and tokens not
 emitted yet.  Reading a byte moves each thread down the trie; where that ends a
 token that may follow the thread's last one, a new thread starts behind it.
-Subsets of threads become states of a deterministic machine when a text first
-needs them.  What all threads of a subset would emit first is emitted at once,
+Subsets of threads become states of a deterministic machine when texts need them;
+states that only one rare piece has come by are not kept.  What all threads of a subset would emit first is emitted at once,
 so the lookahead never exceeds the longest token.
 
 A piece that is a token as a whole is that token, though no merge may lead to it:
@@ -40,7 +40,9 @@ from .pretokens import Memo, pieces
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of what a worker remembers: machine states, token pairs, pieces.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 150_000, 200_000, 100_000
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 150_000, 300_000, 300_000
+#: Moves on the first bytes of a piece are kept when first made, later ones when made again.
+KEPT_BYTES = 6
 _NO_TOKEN = -1
 _NEVER = 1 << 62
 
@@ -51,12 +53,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _State:
-    __slots__ = ("threads", "moves", "final")
+    __slots__ = ("threads", "moves")
 
     def __init__(self, threads):
         self.threads = threads
-        self.moves: dict[int, tuple] = {}
-        self.final = next((emitted for emitted, _, node in threads if node == 0), None)
+        self.moves: dict[int, tuple | None] = {}
+
+    def final(self) -> tuple:
+        """What is still to be emitted where a piece ends here."""
+        return next(emitted for emitted, _, node in self.threads if node == 0)
 
 
 class Transducer:
@@ -129,27 +134,31 @@ class Transducer:
         self.start = _State(threads)
         self.states = {threads: self.start}
 
-    def _move(self, state: _State, byte: int) -> tuple:
-        threads = []
+    def _move(self, state: _State, byte: int, keep: bool) -> tuple:
+        """The state behind a byte and what is emitted; a move that is not kept is marked as made once."""
+        children, token_at, may_follow, threads = self.children, self.token_at, self.may_follow, []
         for emitted, last, node in state.threads:
-            down = self.children[node].get(byte)
+            down = children[node].get(byte)
             if down is None:
                 continue
-            if self.children[down]:
+            if children[down]:
                 threads.append((emitted, last, down))
-            token = self.token_at[down]
-            if token != _NO_TOKEN and self.may_follow[last, token]:
+            token = token_at[down]
+            if token != _NO_TOKEN and may_follow[last, token]:
                 threads.append((emitted + (token,), token, 0))
         shared = threads[0][0]
-        for emitted, _, _ in threads[1:]:
+        for emitted, _, _ in threads[1:] if shared else ():
             n = 0
             while n < len(shared) and n < len(emitted) and shared[n] == emitted[n]:
                 n += 1
             shared = shared[:n]
         n = len(shared)
-        key = tuple((emitted[n:], last, node) for emitted, last, node in threads)
+        key = tuple([(emitted[n:], last, node) for emitted, last, node in threads] if n else threads)
         target = self.states.get(key)
         if target is None:
+            if not keep:
+                state.moves[byte] = None
+                return _State(key), shared
             if len(self.states) >= MOST_STATES:
                 self._restart()
             target = self.states[key] = _State(key)
@@ -162,14 +171,15 @@ class Transducer:
             return [whole]
         out: list[int] = []
         state = self.start
-        for byte in piece:
-            move = state.moves.get(byte)
+        for at, byte in enumerate(piece):
+            moves = state.moves
+            move = moves.get(byte)
             if move is None:
-                move = self._move(state, byte)
+                move = self._move(state, byte, at < KEPT_BYTES or byte in moves)
             state, emitted = move
             if emitted:
                 out += emitted
-        out += state.final
+        out += state.final()
         return out
 
     def decoder(self) -> "StreamDecoder":
