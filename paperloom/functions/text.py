@@ -1,9 +1,13 @@
-"""Column functions over text: all are built-in expressions, none is a UDF."""
+"""Column functions over text: built-in expressions, but for vectors, which are handled in Arrow batches."""
 
 from __future__ import annotations
 
+import hashlib
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -152,35 +156,62 @@ def has_personal_data(text: Column) -> Column:
     return found
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Of two arrays, in double precision; a zero norm counts as 1."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    norm = lambda x: F.coalesce(F.nullif(F.sqrt(dot(x, x)), F.lit(0.0)), F.lit(1.0))
-    return dot(a, b) / (norm(a) * norm(b))
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of an array column that have a value, as a matrix, and which they are; all of one length."""
+    given = column.is_valid().to_numpy(zero_copy_only=False)
+    kept = column.filter(pa.array(given))
+    if not len(kept):
+        return np.zeros((0, 0)), given
+    sizes = np.unique(kept.value_lengths().to_numpy())
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of one column have lengths {sizes[:5].tolist()}")
+    return kept.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(kept), int(sizes[0])), given
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is evaluated once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def cosine(a: Column, b: Column) -> Column:
+    """Of two arrays, in double precision; a zero norm counts as 1.
+
+    In Arrow batches: products are added in the order of the elements, as an expression
+    over the arrays would, but a whole batch at a time.
+    """
+
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        both = pa.array(left.is_valid().to_numpy(zero_copy_only=False) & right.is_valid().to_numpy(zero_copy_only=False))
+        (x, _), (y, _) = _matrix(left.filter(both)), _matrix(right.filter(both))
+        if x.shape != y.shape:
+            raise ValueError(f"vectors have lengths {x.shape[1]} and {y.shape[1]}")
+        dot, xx, yy = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+        for p, q in zip(x.T, y.T):
+            dot += p * q
+            xx += p * p
+            yy += q * q
+        norm = lambda z: np.where(z == 0, 1.0, np.sqrt(z))
+        out = np.full(len(left), np.nan)
+        out[both.to_numpy(zero_copy_only=False)] = dot / (norm(xx) * norm(yy))
+        return pa.array(out, pa.float64(), mask=~both.to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(run, "double")(a, b)
 
 
 def mock_embedding(text: Column, dimension: int = 384) -> Column:
     """A pseudo vector of unit length seeded by the SHA-256 of the text."""
-    byte = lambda digest, i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    steps = F.sequence(F.lit(0), F.lit(dimension - 1))
-    bytes_of = lambda digest: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: byte(digest, i))
-    raw_of = lambda b: F.transform(steps, lambda i: (F.pmod(F.get(b, i % 32) + i * 31, F.lit(256)) - 128) / F.lit(128.0))
-    squares = lambda raw: F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x)
-    raw = let(let(F.sha2(text.cast("binary"), 256), bytes_of), raw_of)
-    both = let(raw, lambda r: F.struct(r.alias("raw"), F.coalesce(F.nullif(F.sqrt(squares(r)), F.lit(0.0)), F.lit(1.0)).alias("norm")))
-    return let(both, lambda x: F.transform(x["raw"], lambda y: y / x["norm"]))
+
+    def run(texts: pa.Array) -> pa.Array:
+        given = texts.is_valid().to_numpy(zero_copy_only=False)
+        digests = b"".join(hashlib.sha256(x.encode()).digest() for x in texts.to_pylist() if x is not None)
+        seeds = np.frombuffer(digests, np.uint8).reshape(-1, 32).astype(np.int64)
+        steps = np.arange(dimension)
+        raw = ((seeds[:, steps % 32] + 31 * steps) % 256 - 128) / 128.0
+        norm = np.sqrt((raw * raw).sum(1, keepdims=True))  # of multiples of 2**-14: exact in any order
+        flat = raw / np.where(norm == 0, 1.0, norm)
+        offsets = np.append(0, np.cumsum(given) * dimension).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()), mask=pa.array(~given))
+
+    return F.arrow_udf(run, "array<double>")(text)
 
 
 def mock_vector(text: str, dimension: int = 384) -> list[float]:
     """The same for one text on the driver."""
-    import hashlib
-    import math
-
     digest = hashlib.sha256(text.encode()).digest()
     raw = [((digest[i % 32] + 31 * i) % 256 - 128) / 128.0 for i in range(dimension)]
     norm = math.sqrt(sum(x * x for x in raw)) or 1.0

@@ -54,6 +54,8 @@ def same_request(manifest: dict, accepted: dict | None) -> bool:
     same = canonical_fingerprint(projection(manifest)) == canonical_fingerprint(projection(accepted))
     if manifest["manifest_id"] == accepted["manifest_id"] and not same:
         raise Refusal("IDEMPOTENCY_CONFLICT", "one id, two contents", "manifest_id")
+    if manifest["index_fingerprint"] == accepted["index_fingerprint"] and manifest["manifest_id"] != accepted["manifest_id"]:
+        raise Refusal("IDEMPOTENCY_CONFLICT", "one content, two ids", "index_fingerprint")
     return same
 
 
@@ -77,16 +79,17 @@ def replace(store: Store, manifest: dict, candidate: DataFrame, *, dimension: in
         run, intent = manifest["run_id"], f"{folder}/intent-{manifest['run_id']}.json"
         previous = store.live_generation
         store.stage(candidate, run)
+        if not compare_sets(declared, store.generation(run), "chunk_id").where("state <> 'both'").isEmpty():
+            raise Refusal("BACKEND_STATE_INCONSISTENT", "what was staged is not the declared set", "visible_chunks")
         if not store.generation(run).where(F.coalesce(F.size("embedding"), F.lit(-1)) != dimension).isEmpty():
             raise Refusal("BACKEND_STATE_INCONSISTENT", "a vector has another dimension", "embedding")
-        seal = {"run_id": run, "previous_generation": previous, "candidate_manifest_id": manifest["manifest_id"], "parent_artifact_ref": manifest["parent_artifact_ref"]}
+        seal = {"run_id": run, "previous_generation": previous, "candidate_manifest_id": manifest["manifest_id"], "parent_artifact_ref": manifest["parent_artifact_ref"], "chunk_ids": sorted(c["chunk_id"] for c in manifest["visible_chunks"])}
         write_json(intent, seal | {"seal": canonical_fingerprint(seal)})
         store.switch(run, hnsw_space="cosine")
         if not verify(declared, store.live(), dimension, observed_space=store.metadata().get("hnsw_space")).matches:
-            if previous:
-                store.switch(previous)
+            store.switch(previous)  # none, where this was the first index
             raise Refusal("BACKEND_STATE_INCONSISTENT", "the live rows are not the declared set", "visible_chunks")
-        store.remove_obsolete()
+        store.remove_obsolete([previous] if previous else [])
         write_json(f"{folder}/{manifest['manifest_id']}.json", manifest)
     return "REPLACED"
 

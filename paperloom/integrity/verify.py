@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -29,13 +30,31 @@ def leaks(key: Column, value: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def leaves(value, path: str = "") -> list[tuple[str, str]]:
-    """(path, value) of every string of a nested document, and every key as a value of its own path."""
+def secrets(value: Column) -> Column:
+    """Whether a text holds a key, a bearer token or a look into the environment."""
+    found = F.lit(False)
+    for pattern in SECRET_VALUES[:3]:
+        found = found | value.rlike(pattern)
+    return F.coalesce(found, F.lit(False))
+
+
+def pairs(value, path: str = "", key: str = "") -> list[tuple[str, str, str]]:
+    """(path, key, value) of every key of a nested document; values that are no strings count as blank."""
     if isinstance(value, dict):
-        return [pair for k, x in value.items() for pair in leaves(x, f"{path}.{k}" if path else k)]
+        return [found for k, x in value.items() for found in ([(f"{path}.{k}" if path else k, k, "")] + pairs(x, f"{path}.{k}" if path else k, k))]
     if isinstance(value, (list, tuple)):
-        return [pair for i, x in enumerate(value) for pair in leaves(x, f"{path}[{i}]")]
-    return [(path, value)] if isinstance(value, str) else []
+        return [found for i, x in enumerate(value) for found in pairs(x, f"{path}[{i}]", key)]
+    return [(path, key, value)] if isinstance(value, str) else []
+
+
+def leaves(value, path: str = "") -> list[tuple[str, str]]:
+    """(path, value) of every string of a nested document."""
+    return [(at, found) for at, _, found in pairs(value, path) if found]
+
+
+def leaks_plainly(key: str, value: str) -> bool:
+    """``leaks`` for one key and value on the driver."""
+    return any(stem in key.lower() for stem in SECRET_KEYS) or any(re.search(pattern, value) for pattern in SECRET_VALUES)
 
 
 def compare_sets(declared: DataFrame, live: DataFrame, key: str) -> DataFrame:
@@ -49,6 +68,47 @@ def duplicates(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *more).where("n > 1")
 
 
+def code_list(codes: Column) -> Column:
+    """Aggregate: the codes that occur, once each, in order."""
+    return F.array_sort(F.collect_set(codes))
+
+
+def dimensions(vectors: Column) -> Column:
+    """Aggregate: the lengths of vectors that occur, in order."""
+    return F.array_sort(F.collect_set(F.size(vectors)))
+
+
+def merged_ids(*groups: Column) -> Column:
+    """All ids of some arrays, once each, in order."""
+    return F.array_sort(F.array_distinct(F.concat(*groups)))
+
+
+def is_subset(inner: Column, outer: Column) -> Column:
+    return F.size(F.array_except(inner, outer)) == 0
+
+
+def scope(accepted: DataFrame, candidate: DataFrame, key: str = "document_id") -> DataFrame:
+    """The documents that a replacement may remove rows of: those of either side."""
+    return accepted.select(key).union(candidate.select(key)).distinct()
+
+
+def lost(declared: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Declared rows that a stored generation lacks; none if it is complete."""
+    return declared.join(stored.select(key), key, "left_anti")
+
+
+def owners(chunks: DataFrame, documents: DataFrame, key: str = "document_id", study: str = "study_id") -> DataFrame:
+    """``chunks`` with ``state``: owned, of another study than its document, or without one."""
+    theirs = documents.select(key, F.col(study).alias("_study"), F.lit(True).alias("_known"))
+    state = F.when(F.col("_known").isNull(), "no owner").when(~F.col(study).eqNullSafe(F.col("_study")), "other study").otherwise("owned")
+    return chunks.join(theirs, key, "left").withColumn("state", state).drop("_study", "_known")
+
+
+def counts_agree(counts: Column, arrays: Column) -> Column:
+    """Whether a stated count is the length of what it counts."""
+    return counts.eqNullSafe(F.size(arrays).cast("bigint"))
+
+
 def against_parent(mine: DataFrame, parent: DataFrame, compared: list[str], key: str = "document_id") -> DataFrame:
     """``mine`` with ``outcome``: refused without a parent record, differs, or eligible."""
     theirs = parent.select(key, *(F.col(c).alias(f"_p_{c}") for c in compared), F.lit(True).alias("_known"))

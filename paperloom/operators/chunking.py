@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import canonical, text
+from ..functions import vocabulary as v
 
 ALGORITHM = "structural-ast-markdown-v2"
 FIRST_SECTION = "Abstract/Intro"
@@ -200,22 +201,64 @@ def chunks(docs: DataFrame, chunker: Chunker = Chunker(), body: str = "text") ->
     )
 
 
+def _quoted(column: Column) -> Column:
+    """A string as canonical JSON has it: control characters in lower-case hex."""
+    plain = F.substring(F.to_json(F.array(column)), 2, F.length(F.to_json(F.array(column))) - 2)
+    low = plain
+    for code in (0x0B, 0x0E, 0x0F, 0x1A, 0x1B, 0x1C, 0x1D, 0x1E, 0x1F):
+        low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    return F.when(column.rlike(r"[\x00-\x1f]"), low).otherwise(plain)
+
+
 def with_identity(found: DataFrame, chunker: Chunker = Chunker()) -> DataFrame:
-    """Adds ``chunk_id`` to chunks that carry all identity limbs; a missing limb is refused."""
+    """Adds ``chunk_id`` to chunks that carry all identity limbs; a missing limb is refused.
+
+    The canonical JSON is put together in the order of its keys and hashed in the JVM.
+    """
     if absent := [limb for limb in LIMBS if limb not in found.columns]:
         raise ChunkerError("IDENTITY_MISSING", f"no column for: {', '.join(absent)}")
-    fingerprint = chunker.fingerprint
-
-    def minted(*columns: pa.Array) -> pa.Array:
-        out = []
-        for path, ordinal, category, sha, *limbs in zip(*(c.to_pylist() for c in columns)):
-            named = dict(zip(LIMBS, limbs))
-            if missing := [k for k, x in named.items() if x is None or not str(x).strip()]:
-                raise ChunkerError("IDENTITY_MISSING", f"no value for: {', '.join(missing)}")
-            out.append(canonical.chunk_id(named["workspace_id"], named, ALGORITHM, fingerprint, path, ordinal, category, sha))
-        return pa.array(out, pa.string())
-
-    return found.withColumn("chunk_id", F.arrow_udf(minted, T.StringType())("section_hierarchy", "paragraph_idx", "section_category", "chunk_text_sha256", *LIMBS))
+    of = {limb: _quoted(F.col(limb).cast("string")) for limb in LIMBS}
+    fixed = lambda value: F.lit(canonical.canonical_bytes(value).decode())
+    joined = lambda pairs: F.concat(F.lit("{"), *(part for i, (key, value) in enumerate(pairs) for part in (F.lit(f'{"," if i else ""}"{key}":'), value)), F.lit("}"))
+    path = F.concat(F.lit("["), F.array_join(F.transform("section_hierarchy", _quoted), ","), F.lit("]"))
+    locator = joined((("heading_path", path), ("ordinal_in_section", F.col("paragraph_idx").cast("string")), ("section_category", _quoted(F.col("section_category")))))
+    limbs = joined((
+        ("chunk_text_sha256", _quoted(F.col("chunk_text_sha256"))), ("chunker_algorithm_version", fixed(ALGORITHM)), ("chunker_configuration_fingerprint", fixed(chunker.fingerprint)),
+        ("document_id", of["document_id"]), ("extracted_content_sha256", of["extracted_content_sha256"]), ("locator", locator), ("parent_artifact_id", of["parent_artifact_id"]),
+        ("parent_artifact_sha256", of["parent_artifact_sha256"]), ("study_id", of["study_id"]),
+    ))
+    whole = joined((("algorithm_version", fixed(v.CHUNK_ID_VERSION)), ("input", limbs), ("kind", fixed("chunk")), ("workspace_namespace", of["workspace_id"])))
+    minted = F.concat(F.lit(v.ID_PREFIXES["chunk"][0]), F.substring(F.sha2(whole.cast("binary"), 256), 1, 32))
+    missing = F.array_join(F.filter(F.array(*(F.when(~text.is_present(F.col(limb).cast("string")), F.lit(limb)) for limb in LIMBS)), lambda x: x.isNotNull()), ", ")
+    return found.withColumn("chunk_id", F.when(missing == "", minted).otherwise(F.raise_error(F.concat(F.lit("IDENTITY_MISSING: no value for: "), missing))))
+
+
+def with_methodology(docs: DataFrame) -> DataFrame:
+    """Adds the struct ``methodology`` to documents for which any of its leading fields is told; null for others.
+
+    Metrics are a list: a list's values, or the one value that is told.
+    """
+    told = lambda name: F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")
+    key = lambda name: told(name).isNotNull() | (F.map_contains_key(F.col("frontmatter"), name) if "frontmatter" in docs.columns else F.lit(False))
+    any_of = key("paradigm") | key("study_design") | key("dataset") | key("sample_size")
+    if "evaluation_metrics" in docs.columns and isinstance(docs.schema["evaluation_metrics"].dataType, T.ArrayType):
+        metrics = F.coalesce(F.col("evaluation_metrics").cast("array<string>"), F.array().cast("array<string>"))
+    else:
+        metrics = F.when(text.given(told("evaluation_metrics")).isNotNull(), F.array(told("evaluation_metrics"))).otherwise(F.array().cast("array<string>"))
+    fields = F.struct(
+        *(told(name).alias(name) for name in ("paradigm", "study_design", "sample_size", "dataset")), metrics.alias("evaluation_metrics"),
+        *(told(name).alias(name) for name in ("primary_results", "declared_limitations")),
+    )
+    kept = [c for c in docs.columns if c not in ("paradigm", "study_design", "sample_size", "dataset", "evaluation_metrics", "primary_results", "declared_limitations", "methodology")]
+    return docs.select(*kept, F.when(F.coalesce(any_of, F.lit(False)), fields).alias("methodology"))
+
+
+def ordinals(chunks: DataFrame, document: str = "document_id", path: str = "section_hierarchy", order: tuple[str, ...] = ("section_no", "paragraph_idx")) -> DataFrame:
+    """Adds ``ordinal_in_section``: the place of a chunk among those of its document and heading path."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy(document, path).orderBy(*order)
+    return chunks.withColumn("ordinal_in_section", F.row_number().over(own))
 
 
 def frontmatter(markdown: str) -> tuple[dict, str]:

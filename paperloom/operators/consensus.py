@@ -54,7 +54,7 @@ def clusters(claims: DataFrame, threshold: float = THRESHOLD, group: str = "rq_i
 
 def study_stances(claims: DataFrame, *keys: str) -> DataFrame:
     """The majority stance of each study within ``keys``; of equals the first seen."""
-    n = claims.groupBy(*keys, F.trim("study_id").alias("study_id"), "stance").agg(F.count("*").alias("n"), F.min("claim_seq").alias("seen"))
+    n = claims.groupBy(*keys, text.strip(F.col("study_id")).alias("study_id"), "stance").agg(F.count("*").alias("n"), F.min("claim_seq").alias("seen"))
     first = Window.partitionBy(*keys, "study_id").orderBy(F.desc("n"), "seen")
     return n.withColumn("_k", F.row_number().over(first)).where("_k = 1").select(*keys, "study_id", "stance")
 
@@ -93,6 +93,24 @@ def analyze(claims: DataFrame, threshold: float = THRESHOLD, auto_stance: bool =
     return bucket_order(verdicts(found, "rq_id", "cluster_no"))
 
 
+def totals(groups: DataFrame, claims: DataFrame) -> DataFrame:
+    """(rq_id, verdict, clusters, place-ordered cluster numbers, input_claims, total_groups) of each question."""
+    said = claims.groupBy("rq_id").agg(F.count("*").alias("input_claims"))
+    per = groups.groupBy("rq_id").agg(F.count("*").alias("total_groups"))
+    buckets = groups.groupBy("rq_id", "verdict").agg(
+        F.count("*").alias("clusters"), F.transform(F.array_sort(F.collect_list(F.struct("place", "cluster_no"))), lambda x: x["cluster_no"]).alias("cluster_nos")
+    )
+    return buckets.join(said, "rq_id").join(per, "rq_id")
+
+
+def totals_of(groups: DataFrame, claims: DataFrame) -> dict:
+    """The same as one document, for a report file: the counts, and the clusters of each verdict."""
+    out: dict = {"input_claims": claims.count(), "total_groups": groups.count(), "groups": {v: [] for v in VERDICTS}}
+    for row in groups.orderBy("verdict", "place").toLocalIterator():
+        out["groups"].setdefault(row["verdict"], []).append(row.asDict())
+    return out
+
+
 def report(groups: DataFrame, claims: DataFrame) -> str:
     """Markdown of agreed and debated clusters of one question, for people to read."""
     rows = groups.where(F.col("verdict").isin(*VERDICTS[:2])).orderBy("place").collect()

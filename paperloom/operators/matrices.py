@@ -51,6 +51,12 @@ def methodology_matrix(chunks: DataFrame, seq: str = "ingest_seq") -> DataFrame:
     )
 
 
+def methodology_json(matrix: DataFrame) -> DataFrame:
+    """One JSON text for each study, in the order of the matrix."""
+    fields = [c for c in matrix.columns if c != "first_seq"]
+    return matrix.select("first_seq", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json")).orderBy("first_seq")
+
+
 def methodology_markdown(rows: list) -> str:
     head = ("Study ID", "Authors & Year", "Epistemological Design", "Population / Dataset / Sample", "Key Intervention / Model", "Primary Metrics & Results", "Declared Limitations")
     fields = ("authors_year", "epistemological_design", "population_dataset_sample", "key_intervention_model", "primary_metrics_results", "declared_limitations")
@@ -101,6 +107,14 @@ def top_per_dimension(studies: DataFrame, chunks: DataFrame, dimensions: list[di
     return ranked.select("label", F.col("_d.dim_id").alias("dim_id"), "place", tie, "text", *(["citation_token"] if "citation_token" in chunks.columns else []))
 
 
+def with_citations(chunks: DataFrame) -> DataFrame:
+    """Chunks with their ``citation_token`` where they have none."""
+    if "citation_token" in chunks.columns:
+        return chunks
+    named = (_column(chunks, name) for name in ("workspace_id", "paper_id", "doi", "filename", "section", "chunk_id"))
+    return chunks.withColumn("citation_token", text.citation_token(*named))
+
+
 def first_sentence(column: Column) -> Column:
     return text.strip(F.substring_index(column, ".", 1))
 
@@ -128,8 +142,9 @@ def export(rows: list[dict], dimensions: list[dict], protocol_id: str, project:
         writer.writeheader()
         writer.writerows(rows)
     head = ["Study ID", "Title", "Authors & Year", *(d["name"] for d in dimensions)]
-    lines = [f"# Synthesis Matrix: {project}", f"**Protocol ID**: `{protocol_id}`", "", f"| {' | '.join(head)} |", f"| {' | '.join([':---'] * len(head))} |"]
+    table = [head, [":---"] * len(head)]
     for r in rows:
         who = f"{r['authors']} ({r['year']})" if r["year"] else r["authors"]
-        lines.append("| " + " | ".join([str(r["study_id"]), str(r["title"])[:40], who, *(str(r[d["id"]])[:50] for d in dimensions)]) + " |")
-    return {"json": json.dumps(rows, indent=2, default=str), "csv": out.getvalue(), "md": "\n".join(lines)}
+        table.append([f"**{r['study_id']}**", str(r["title"])[:40], who, *(str(r[d["id"]])[:50] for d in dimensions)])
+    body = "".join(f"| {' | '.join(cells)} |\n" for cells in table)
+    return {"json": json.dumps(rows, indent=2, default=str), "csv": out.getvalue(), "md": f"# Synthesis Matrix: {project}\n**Protocol ID**: `{protocol_id}`\n\n{body}"}

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import materialise
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, every: int = 5) -> DataFrame:
-    """(node, rank) of the nodes of ``edges`` (src, dst[, weight]); ranks sum to 1.
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, every: int = 5, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, rank) of the nodes of ``edges`` (src, dst[, weight]) and of ``nodes`` (node); ranks sum to 1.
 
     What nodes without edges out hold is spread evenly.  Stops once the ranks move
     by less than ``tolerance`` for each node in all, or after ``rounds``.  The ranks are
@@ -19,7 +19,8 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
     flows = edges.groupBy("src", "dst").agg(F.sum(weight).alias("weight"))
     out = flows.groupBy("src").agg(F.sum("weight").alias("total"))
     flows = materialise(flows.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "flows")
-    nodes = flows.select(F.col("src").alias("node")).unionByName(flows.select(F.col("dst").alias("node"))).distinct()
+    ends = flows.select(F.col("src").alias("node")).unionByName(flows.select(F.col("dst").alias("node")))
+    nodes = (ends if nodes is None else ends.unionByName(nodes.select("node"))).distinct()
     sources = flows.select(F.col("src").alias("node")).distinct().withColumn("linked", F.lit(True))
     nodes = materialise(nodes.join(sources, "node", "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "nodes")
     n = nodes.count()

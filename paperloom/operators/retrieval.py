@@ -56,7 +56,7 @@ def boosted(chunks: DataFrame, ranks: DataFrame | None, seeds: list[str] | None,
     The rank of a row is that of its DOI, else of its paper, else of its file name;
     a rank of 0 counts as none.
     """
-    keys = {k: F.lower(F.trim(F.col(k))) for k in ("doi", "paper_id", "filename") if k in chunks.columns}
+    keys = {k: F.lower(text.strip(F.col(k))) for k in ("doi", "paper_id", "filename") if k in chunks.columns}
     rank = F.lit(0.0)
     out = chunks
     if ranks is not None:

@@ -13,7 +13,7 @@ from ..functions import text
 from ..functions import vocabulary as v
 from ..operators import chunking, claims, consensus, matrices, pagerank, retrieval
 from ..sources import bibliography, store
-from ..sources.tables import read
+from ..sources.tables import new_folder, read
 
 HEADINGS = ("Introduction", "Methodology", "Results", "Discussion", "Appendix", "2.1 Dataset")
 SUBHEADINGS = ("Background", "3. Evaluation", "Limitations", "IV. Protocol")
@@ -364,11 +364,11 @@ def claim_units(spark, sf_dir):
 
 
 def _cited(spark, sf_dir) -> DataFrame:
-    unit = F.concat(F.substring("text", 1, 300), F.lit(" [w"), F.col("conv_id").cast("string"), F.lit("#"), "role", F.lit("#c"), F.col("turn").cast("string"), F.lit("] end [not a token]"))
+    unit = F.concat("text", F.lit(" [w"), F.col("conv_id").cast("string"), F.lit("#"), "role", F.lit("#c"), F.col("turn").cast("string"), F.lit("] end [not a token]"))
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", unit.alias("unit"))
 
 
-_UNIT = r"SELECT conv_id, turn, left(text, 300) || ' [w' || conv_id || '#' || role || '#c' || turn || '] end [not a token]' AS unit FROM conversations"
+_UNIT = r"SELECT conv_id, turn, text || ' [w' || conv_id || '#' || role || '#c' || turn || '] end [not a token]' AS unit FROM conversations"
 
 
 @query(rf"""WITH u AS ({_UNIT}) SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(unit, '\[([^\]]+#[^\]]+#[^\]]+)\]', 1), lambda t: '[' || t || ']'), ' ') AS tokens,
@@ -533,13 +533,21 @@ def upsert_merge(spark, sf_dir):
     first = orders.where(F.startswith("o_orderpriority", F.lit("1")))
     new = first.select(*row(F.col("o_orderkey"), "new", F.col("o_totalprice") * 2, 2)).unionByName(first.select(*row(F.col("o_orderkey") + 1, "later", F.lit(1.0), 3)))
     old = orders.select(*row(F.col("o_orderkey"), "old", F.col("o_totalprice"), 1))
-    return store.merged(old, new, "k", "seq").select("k", "origin", F.round("price", 2).alias("price"))
+    kept = store.Store(spark, new_folder(spark, "upsert-merge"))
+    as_rows = lambda rows: rows.select(F.col("k").cast("string").alias("chunk_id"), "k", "origin", "price", F.col("seq").alias("ingest_seq"))
+    kept.upsert(as_rows(old))
+    kept.upsert(as_rows(new))
+    return kept.live().select("k", "origin", F.round("price", 2).alias("price"))
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
 def delete_ids(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
     gone = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return read(spark, sf_dir, "orders").join(gone, "o_custkey", "left_anti").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    kept = store.Store(spark, new_folder(spark, "delete-ids"))
+    kept.append(orders.select(F.col("o_orderkey").cast("string").alias("chunk_id"), "o_orderstatus"))
+    kept.delete(orders.join(gone, "o_custkey").select(F.col("o_orderkey").cast("string").alias("chunk_id")))
+    return kept.live().groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH declared AS (SELECT DISTINCT doc_id AS id FROM labels WHERE quality = 1), live AS (SELECT doc_id AS id FROM documents WHERE n_chars > 500)
@@ -552,12 +560,12 @@ def live_set_diff(spark, sf_dir):
     return compare_sets(declared, live, "id").groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("""WITH d AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) % 40 AS ordinal FROM documents)
+@query("""WITH d AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) % 4 AS ordinal FROM documents)
 SELECT source, lang, ordinal, count(*) AS n, min(doc_id) AS first_id FROM d GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_locators(spark, sf_dir):
     from ..integrity.verify import duplicates
 
-    ordinal = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")) % 40
+    ordinal = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")) % 4
     rows = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", ordinal.cast("bigint").alias("ordinal"))
     return duplicates(rows, ["source", "lang", "ordinal"], F.min("doc_id").alias("first_id"))
 
@@ -588,8 +596,9 @@ def bib_join(spark, sf_dir):
 
 @query("SELECT event_type AS action, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY ALL")
 def journal_by_action(spark, sf_dir):
-    day = F.window("ts", "1 day")["start"]
-    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("action"), day.alias("day")).agg(F.count("*").alias("n"))
+    from ..streaming.journal import counts_by_action
+
+    return counts_by_action(read(spark, sf_dir, "events"), action="event_type").select("action", F.col("start").alias("day"), "n")
 
 
 _LEGACY_ID = "CASE doc_id % 4 WHEN 0 THEN 'chk-' || doc_id WHEN 1 THEN 'chk-a' || doc_id WHEN 2 THEN 'CHK-' || left(sha256(doc_id::VARCHAR), 32) ELSE 'row ' || doc_id END"
@@ -608,15 +617,16 @@ def classify_legacy(spark, sf_dir):
     return legacy_signals(rows).select("doc_id", "legacy_id", "ordinal_id", "no_parent", text.valid_identifier("chunk", F.col("chunk_id")).alias("valid_id"))
 
 
-@query(r"""WITH r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '/etc/x' WHEN 1 THEN 'a/../b' WHEN 2 THEN 'Bearer abcdefghijkl' WHEN 3 THEN 'sk-' || left(sha256(doc_id::VARCHAR), 24) ELSE source END AS value FROM documents)
-SELECT doc_id, doc_id % 5 <> 4 AS leaks FROM r""")
+@query(r"""WITH r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '/etc/x' WHEN 1 THEN 'a/../b' WHEN 2 THEN 'Bearer abcdefghijkl' WHEN 3 THEN 'sk-' || left(sha256(doc_id::VARCHAR), 24) ELSE source END AS value, text FROM documents)
+SELECT doc_id, doc_id % 5 <> 4 AS leaks, regexp_matches(text, '\b(sk-[A-Za-z0-9]{8,}|ghp_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{12,})\b') OR regexp_matches(text, '\bbearer\s+\S+', 'i')
+  OR regexp_matches(text, 'os\.environ|getenv\s*\(|process\.env|\benv\(|\$ENV\{|\$\{ENV|ENV\[', 'i') AS text_leaks FROM r""")
 def leak_scan(spark, sf_dir):
-    from ..integrity.verify import leaks
+    from ..integrity.verify import leaks, secrets
 
     i = F.pmod("doc_id", F.lit(5))
     secret = F.concat(F.lit("sk-"), F.substring(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), 1, 24))
     value = F.when(i == 0, "/etc/x").when(i == 1, "a/../b").when(i == 2, "Bearer abcdefghijkl").when(i == 3, secret).otherwise(F.col("source"))
-    return read(spark, sf_dir, "documents").select("doc_id", leaks(F.lit("note"), value).alias("leaks"))
+    return read(spark, sf_dir, "documents").select("doc_id", leaks(F.lit("note"), value).alias("leaks"), secrets(F.col("text")).alias("text_leaks"))
 
 
 @query(f"""WITH {_CHUNKS} SELECT chunk_id, workspace_id, doi, title, authors, year, section, replace(path, ' > ', ' > ') AS section_hierarchy, section_category, paradigm FROM chunks""")

@@ -69,13 +69,23 @@ def join_documents(docs: DataFrame, keyed: DataFrame, stem: str = "stem") -> Dat
     """Documents with the entry of their file name, or else of the first key that the
     name contains; ``matched`` says which.
 
-    Only names without an exact entry reach the second join.  It compares each key
-    of some length with the pieces of that length of a name, so it stays an equality join.
+    What an entry tells depends on the name alone, so the distinct names are matched and
+    joined back: no other column of a document moves, equal rows stay as many as they are,
+    and a null name matches nothing.  Only names without an exact entry reach the second
+    join.  It compares each key of some length with the pieces of that length of a
+    name, so it stays an equality join.
     """
-    name = F.lower(stem)
-    exact = docs.join(keyed, name == F.col("key"), "left")
+    names = docs.select(F.lower(stem).alias("_name")).where("_name is not null").distinct()
+    told = _matched(names, keyed)
+    return docs.withColumn("_name", F.lower(stem)).join(told, "_name", "left").drop("_name")
+
+
+def _matched(names: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Of distinct names (``_name``) those with an entry."""
+    name = F.col("_name")
+    exact = names.join(keyed, name == F.col("key"), "left")
     hit = exact.where("key is not null").withColumn("matched", F.lit("exact"))
-    rest = exact.where("key is null").select(*docs.columns)
+    rest = exact.where("key is null").select("_name")
     lengths = [r[0] for r in keyed.select(F.length("key").alias("n")).distinct().collect()]  # of keys: a few dozen at most
     none_of = F.array().cast("array<string>")
 
@@ -85,7 +95,6 @@ def join_documents(docs: DataFrame, keyed: DataFrame, stem: str = "stem") -> Dat
 
     pieces = F.array_distinct(F.flatten(F.array(*map(pieces_of, lengths)))) if lengths else none_of
     found = rest.withColumn("_piece", F.explode(pieces)).join(keyed, F.col("_piece") == F.col("key")).drop("_piece")
-    first = Window.partitionBy(*docs.columns).orderBy("key_order")
+    first = Window.partitionBy("_name").orderBy("key_order")
     within = found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").withColumn("matched", F.lit("contains"))
-    none = rest.join(within.select(*docs.columns), docs.columns, "left_anti")
-    return hit.unionByName(within).unionByName(none, allowMissingColumns=True)
+    return hit.unionByName(within)

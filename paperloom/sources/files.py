@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,16 +26,29 @@ def bound_documents(found: DataFrame, records: DataFrame) -> tuple[DataFrame, Da
     return both.where("text is not null").orderBy("document_id"), both.where("text is null").drop("text")
 
 
-def citation_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
-    """(edges, given ranks) of a graph file: nodes and links, or ranks by node."""
-    raw = spark.read.json(path, multiLine=True)
-    none = spark.createDataFrame([], "src string, dst string")
-    if "links" in raw.columns and "nodes" in raw.columns:
-        return raw.select(F.explode("links").alias("l")).select(F.col("l.source").cast("string").alias("src"), F.col("l.target").cast("string").alias("dst")), None
-    if "pagerank" in raw.columns:
+def citation_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(edges, given ranks, nodes) of a graph file: nodes and links, or ranks by node.
+
+    Nodes that no link names are nodes as well.  A file that is missing or cannot be read
+    gives nothing: a question is answered without a graph then.
+    """
+    edges, nodes = spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([], "node string")
+    try:
+        raw = spark.read.json(path, multiLine=True)
+    except AnalysisException:  # there is no such file
+        return edges, None, nodes
+    fields = dict(raw.dtypes)
+    if "links" in fields and "nodes" in fields:
+        if fields["links"].startswith("array<struct"):
+            edges = raw.select(F.explode("links").alias("l")).select(F.col("l.source").cast("string").alias("src"), F.col("l.target").cast("string").alias("dst"))
+        if fields["nodes"].startswith("array"):
+            of = F.col("n.id") if fields["nodes"].startswith("array<struct") else F.col("n")
+            nodes = raw.select(F.explode("nodes").alias("n")).select(of.cast("string").alias("node"))
+        return edges, None, nodes.unionByName(edges.select(F.col("src").alias("node"))).unionByName(edges.select(F.col("dst").alias("node"))).where("node is not null").distinct()
+    if "pagerank" in fields:
         ranks = raw.select(F.explode(F.from_json(F.to_json("pagerank"), "map<string,double>")).alias("node", "rank"))
-        return none, ranks
-    return none, None
+        return edges, ranks, nodes
+    return edges, None, nodes
 
 
 def claims(spark: SparkSession, path: str) -> DataFrame:

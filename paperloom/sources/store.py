@@ -17,6 +17,8 @@ POINTER = "_live.json"
 
 
 class Store:
+    mode = "pointer"
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.chunks_path = f"{self.folder}/chunks"
@@ -55,8 +57,8 @@ class Store:
     def live_generation(self) -> str | None:
         return self.metadata().get("visible_generation")
 
-    def switch(self, generation: str, **more) -> None:
-        """Make a generation the live one; other keys of the pointer stay."""
+    def switch(self, generation: str | None, **more) -> None:
+        """Make a generation the live one, or none; other keys of the pointer stay."""
         self.write_metadata(self.metadata() | {"visible_generation": generation} | more)
 
     # ---- reading -----------------------------------------------------------
@@ -84,12 +86,15 @@ class Store:
         """Write a whole candidate as a generation that nobody reads yet."""
         rows.drop("generation").write.mode("overwrite").parquet(f"{self.chunks_path}/generation={generation}")
 
-    def upsert(self, rows: DataFrame, generation: str | None = None) -> str:
-        """Rows by ``chunk_id``: of one id the last by ``ingest_seq`` holds; others stay."""
+    def upsert(self, rows: DataFrame, generation: str | None = None, **more) -> str:
+        """Rows by ``chunk_id``: of one id the last by ``ingest_seq`` holds; others stay.
+
+        ``more`` goes into the pointer together with the switch.
+        """
         generation = generation or f"RUN-{uuid.uuid4().hex}"
         live = self.live()
         self.stage(merged(live, rows) if live is not None else last_of_each(rows), generation)
-        self.switch(generation)
+        self.switch(generation, **more)
         return generation
 
     def append(self, rows: DataFrame) -> str:
@@ -108,15 +113,28 @@ class Store:
         self.stage(live.join(ids.select("chunk_id"), "chunk_id", "left_anti") if ids is not None else live.limit(0), generation)
         self.switch(generation)
 
-    def remove_obsolete(self) -> int:
-        """Delete the generations that are not live; how many there were."""
-        live, gone = self.live_generation, 0
-        for name in self.generations():
-            if name != live:
-                fs, at = self._fs(f"{self.chunks_path}/generation={name}")
-                fs.delete(at, True)
-                gone += 1
-        return gone
+    def discard(self, generation: str) -> bool:
+        """Delete a generation that is not live; whether there was one."""
+        if generation == self.live_generation:
+            raise ValueError("the generation is live")
+        fs, at = self._fs(f"{self.chunks_path}/generation={generation}")
+        return fs.exists(at) and fs.delete(at, True)
+
+    def rename(self, generation: str, to: str) -> None:
+        """Put a staged generation in the place of another that is not live."""
+        self.discard(to)
+        fs, at = self._fs(f"{self.chunks_path}/generation={generation}")
+        _, new = self._fs(f"{self.chunks_path}/generation={to}")
+        fs.rename(at, new)
+
+    def remove_obsolete(self, only: list[str] | None = None) -> int:
+        """Delete generations that are not live, all or those named; how many there were.
+
+        A replacement names the generation that it took the place of, so what other runs
+        have staged stays.
+        """
+        live = self.live_generation
+        return sum(self.discard(name) for name in self.generations() if name != live and (only is None or name in only))
 
 
 def last_of_each(rows: DataFrame, key: str = "chunk_id", order: str = "ingest_seq") -> DataFrame:

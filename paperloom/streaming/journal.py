@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,15 @@ def counts_by_action(events: DataFrame, ts: str = "ts", action: str = "action",
 def upsert_stream(chunks: DataFrame, store: Store, checkpoint: str):
     """Start upserting a stream of chunk rows.
 
-    Each batch becomes the generation of its number: a batch that is replayed after
-    a crash writes the same generation again, so it has the same effect once.
+    The pointer keeps the last batch of each stream, which its checkpoint names.  A batch
+    that is replayed after a crash is known by its number and has its effect once; a new
+    stream counts from its own beginning.
     """
+    stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, number: int) -> None:
-        name = f"RUN-batch-{number}"
-        if store.live_generation != name:
-            store.upsert(batch, name)
+        done = store.metadata().get("streams", {})
+        if done.get(stream, -1) < number:
+            store.upsert(batch, f"RUN-{stream}-{number}", streams=done | {stream: number})
 
     return chunks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
