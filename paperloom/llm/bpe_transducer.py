@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 from array import array
 
@@ -40,7 +41,7 @@ from .pretokens import Memo, pieces
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of what a worker remembers: machine states, token pairs, pieces.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 150_000, 300_000, 300_000
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 150_000, 300_000, 900_000
 #: Moves on the first bytes of a piece are kept when first made, later ones when made again.
 KEPT_BYTES = 6
 _NO_TOKEN = -1
@@ -130,6 +131,8 @@ class Transducer:
                 j += 1
 
     def _restart(self) -> None:
+        for state in getattr(self, "states", {}).values():
+            state.moves.clear()  # states lead to each other in circles; so they go without the collector
         threads = (((), _NO_TOKEN, 0),)
         self.start = _State(threads)
         self.states = {threads: self.start}
@@ -214,6 +217,13 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool = False, doc
     small_batches(docs.sparkSession)
 
     def run(batches):
+        gc.disable()  # a million small objects that are no garbage would be looked through again and again
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches):
         machine = transducer(vocabulary)
         memo = Memo(lambda piece: array("I", machine.encode_piece(piece.encode())).tobytes(), MOST_PIECES)
         for batch in batches:
