@@ -30,6 +30,7 @@ import codecs
 import gc
 import hashlib
 from array import array
+from typing import NamedTuple
 
 import public_tokenizers
 import pyarrow as pa
@@ -40,8 +41,16 @@ from .common import frugal, small_batches
 from .pretokens import Memo, pieces
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bounds of what a worker remembers: machine states, token pairs, pieces.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 150_000, 300_000, 900_000
+class Bounds(NamedTuple):
+    """What a worker remembers at most: machine states, token pairs, pieces."""
+
+    states: int
+    pairs: int
+    pieces: int
+
+
+#: Some 350 MB and 150 MB; the ids are the same with either.
+FAST, LEAN = Bounds(150_000, 300_000, 900_000), Bounds(60_000, 100_000, 200_000)
 #: Moves on the first bytes of a piece are kept when first made, later ones when made again.
 KEPT_BYTES = 6
 _NO_TOKEN = -1
@@ -68,8 +77,8 @@ class _State:
 class Transducer:
     """Encoder and decoder over a table of ranked tokens that holds all single bytes."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], bounds: Bounds = FAST):
+        self.ranks, self.bounds = ranks, bounds
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         self.children: list[dict[int, int]] = [{}]
         self.token_at = [_NO_TOKEN]
@@ -84,10 +93,10 @@ class Transducer:
                     self.token_at.append(_NO_TOKEN)
                 node = down
             self.token_at[node] = rank
-        self.reachable = Memo(lambda token: self.merge(self.bytes_of[token]) == [token], MOST_PAIRS)
-        self.left_edge = Memo(lambda token: self._edge(token, 0), MOST_PAIRS)
-        self.right_edge = Memo(lambda token: self._edge(token, 1), MOST_PAIRS)
-        self.may_follow = Memo(self._may_follow, MOST_PAIRS)
+        self.reachable = Memo(lambda token: self.merge(self.bytes_of[token]) == [token], bounds.pairs)
+        self.left_edge = Memo(lambda token: self._edge(token, 0), bounds.pairs)
+        self.right_edge = Memo(lambda token: self._edge(token, 1), bounds.pairs)
+        self.may_follow = Memo(self._may_follow, bounds.pairs)
         self._restart()
 
     def merge(self, data: bytes, until: int = 1) -> list[int]:
@@ -162,7 +171,7 @@ class Transducer:
             if not keep:
                 state.moves[byte] = None
                 return _State(key), shared
-            if len(self.states) >= MOST_STATES:
+            if len(self.states) >= self.bounds.states:
                 self._restart()
             target = self.states[key] = _State(key)
         move = state.moves[byte] = (target, shared)
@@ -202,9 +211,9 @@ class StreamDecoder:
         return data, self.machine.decode(data, last)
 
 
-def transducer(vocabulary: str = VOCABULARY) -> Transducer:
+def transducer(vocabulary: str = VOCABULARY, bounds: Bounds = FAST) -> Transducer:
     """A machine of its own for each task: what it has determinised goes when the task ends."""
-    return Transducer(read_ranks(public_tokenizers.path(vocabulary)))
+    return Transducer(read_ranks(public_tokenizers.path(vocabulary)), bounds)
 
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_chars_decoded bigint"
@@ -212,7 +221,7 @@ SCHEMA_IDS = SCHEMA + ", ids array<int>"
 _PORTION = 1 << 16
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool = False, doc_id: str = "doc_id", text: str = "text", bounds: Bounds = FAST) -> DataFrame:
     """Encode and decode every text: hashes and counts, with ``ids`` the ids as well."""
     small_batches(docs.sparkSession)
 
@@ -224,8 +233,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool = False, doc
             gc.enable()
 
     def encoded(batches):
-        machine = transducer(vocabulary)
-        memo = Memo(lambda piece: array("I", machine.encode_piece(piece.encode())).tobytes(), MOST_PIECES)
+        machine = transducer(vocabulary, bounds)
+        memo = Memo(lambda piece: array("I", machine.encode_piece(piece.encode())).tobytes(), bounds.pieces)
         for batch in batches:
             rows = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
