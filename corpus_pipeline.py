@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import bpe_transducer, decontaminate, near_dedup, quality_classifier, suffix_dedup
-from paperloom.llm.common import join_checked, materialise, new_folder, table
+from paperloom.llm.common import join_checked, materialise, new_folder, room_for_python, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The similarity of near-duplicates here; the 85 of the op4 query is its own.
@@ -40,6 +40,7 @@ def _match(rows: DataFrame) -> tuple[DataFrame, Column]:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: that of least id, a null id last."""
+    room_for_python(spark)
     docs = docs.select(*COLUMNS)
     gone, again = near_dedup.redundant(docs, NEAR_PERCENT)
     gone, again = materialise(gone, "near-duplicates", ids_only=True), materialise(again, "equal-rows", ids_only=True)
@@ -55,6 +56,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A character of which bytes were cut goes as a whole.
     """
+    room_for_python(spark)
     cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True, words=REPEATED_WORDS)
     left = cut.where((F.col("n_removed") == 0) | (F.col("kept") != ""))
     return left.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
@@ -69,6 +71,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document left, checked by decoding them; executors still hold what the stages before took."""
+    room_for_python(spark)
     return bpe_transducer.encode(docs, ids=True, bounds=bpe_transducer.LEAN)
 
 

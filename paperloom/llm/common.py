@@ -56,6 +56,17 @@ def frugal(run: Callable) -> Callable:
     return to_the_end
 
 
+def room_for_python(spark: SparkSession) -> None:
+    """Have the executors' JVMs give back heap that they do not use.
+
+    After a stage of joins and sorts a JVM holds all the heap it may have, little of it in
+    use, and the Python workers of the next stage live in the same container.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    collected = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).select(collected).write.format("noop").mode("overwrite").save()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
