@@ -71,6 +71,18 @@ def test_periodic_and_long_texts_lose_what_repeats(spark, monkeypatch, windows,
         assert (got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == (gone, spans, kept), i
 
 
+def test_only_texts_that_lose_something_move(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "cast(id as string) as _part", "xxhash64(id) as rid")
+    wanted = set(range(0, 3000, 7))
+    losing, rest = suffix_dedup.parted(docs, "rid", docs.where("doc_id % 7 = 0").select("rid"))
+    assert losing.columns == rest.columns == docs.columns
+    some, others = ([r["doc_id"] for r in x.collect()] for x in (losing, rest))
+    assert wanted <= set(some) and len(some) < len(wanted) + 30 and sorted(some + others) == list(range(3000))
+    assert suffix_dedup.parted(docs, "rid", docs.where("false"))[1].count() == 3000
+    plan = losing._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_periodic_text_moves_few_bytes():
     data = np.frombuffer(b"x" * 20_000, np.uint8)
     prints, _, counts, _ = suffix_dedup.merged_runs(*suffix_dedup.anchored_runs(data))
