@@ -24,6 +24,7 @@ as often as they occur; they stand next to each other.  A null id comes first.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from array import array
@@ -81,6 +82,17 @@ class LibraryEncoder:
         return b"".join(self.added[part] if k % 2 else b"".join(map(of, pieces(part))) for k, part in enumerate(parts))
 
 
+_of_worker: dict[str, LibraryEncoder] = {}
+
+
+def encoder_of(vocabulary: str = VOCABULARY) -> LibraryEncoder:
+    """One encoder for all tasks of a Python worker: what it remembers of pieces serves the next task too."""
+    if vocabulary not in _of_worker:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _of_worker[vocabulary] = LibraryEncoder(public_tokenizers.path(vocabulary))
+    return _of_worker[vocabulary]
+
+
 def rolling_hash(ids: np.ndarray) -> np.ndarray:
     """For each place a hash of the ``REACH`` ids that end there."""
     h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -160,10 +172,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: in
     small_batches(spark)
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = LibraryEncoder(public_tokenizers.path(vocabulary))
+        encoder = encoder_of(vocabulary)
         end, width = np.array([end_id], encoder.kind).tobytes(), encoder.width
         names = ["kind", "name", "data", "n_ids", "doc_id"]
         kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]

@@ -31,3 +31,28 @@ def test_altered_recipes_are_not_read(spark, monkeypatch):
         monkeypatch.setattr(token_store, "write", altered)
         with pytest.raises(ValueError, match="manifest"):
             token_store.store_and_read(docs)
+
+
+def test_tasks_of_a_worker_share_what_is_remembered(spark):
+    rng = random.Random(15)
+    texts = [prose(rng, 40) for _ in range(8)]
+    docs = frame(spark, texts).select("doc_id", "text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            encoder = token_store.encoder_of()
+            before = len(encoder.of_piece)
+            for text in batch.column(1).to_pylist():
+                encoder.encode(text)
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()], pa.int64()), pa.array([len(encoder.of_piece) - before], pa.int64())], ["worker", "new"])
+
+    seen, again = set(), []
+    for _ in range(12):  # idle workers take turns
+        for worker, new in docs.coalesce(1).mapInArrow(run, "worker bigint, new bigint").collect():
+            again += [new] * (worker in seen)
+        seen.add(worker)
+    assert again and not any(again)
+    whole = token_store.LibraryEncoder(token_store.public_tokenizers.path(token_store.VOCABULARY))
+    assert [token_store.encoder_of().encode(t) for t in texts + texts] == [whole.encode(t) for t in texts + texts]
