@@ -37,12 +37,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_folder, small_batches
-from .pretokens import Memo, pieces
+from .common import new_folder, small_batches, together
+from .pretokens import Memo, piece_starts, pieces, plain_texts
 from .token_counts import byte_alphabet
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
 MOST_PIECES = 600_000
+#: Bytes of rows encoded at once, or those of one Arrow batch.
+GROUP_BYTES = 8 << 20
 #: Ids that the rolling hash sees; shortest, usual and longest chunk in ids.
 REACH, SHORTEST, USUAL, LONGEST = 16, 64, 256, 1024
 BLOCK = 1024
@@ -53,7 +55,8 @@ class LibraryEncoder:
     """Ids by the BPE model of the tokenizers library, each piece encoded once and remembered.
 
     Texts are split at added tokens and then into pieces, as the library itself does
-    before any merge, so the ids of a text are those of its pieces.
+    before any merge, so the ids of a text are those of its pieces.  Many texts are
+    encoded at once by their distinct pieces, which Arrow finds.
     """
 
     def __init__(self, path: str):
@@ -66,13 +69,65 @@ class LibraryEncoder:
         self.added = {token.content: np.array([i], self.kind).tobytes() for i, token in library.get_added_tokens_decoder().items()}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
+        self.split_bytes = re.compile(b"|".join(re.escape(token.encode()) for token in longest_first))
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.of_piece = Memo(self._encode, MOST_PIECES)
+        self.bare = Tokenizer(self.model)  # neither splits nor adds anything
+        self.letters = np.array([ord(letter) for letter in byte_alphabet()], "<u4")
+        vocabulary = library.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)  # a letter for each byte
 
     def _encode(self, piece: str) -> bytes:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
         return array(self.code, [token.id for token in tokens]).tobytes()
 
+    def _encode_all(self, pieces: list[str]) -> list[bytes]:
+        """``_encode`` of many pieces in one call of the library; their bytes tell whose ids are whose."""
+        data = [piece.encode() for piece in pieces]
+        until = np.cumsum([len(piece) for piece in data])
+        spelt = self.letters[np.frombuffer(b"".join(data), np.uint8)].tobytes().decode("utf-32-le")
+        ends = until.tolist()
+        words = [spelt[a:b] for a, b in zip([0, *ends], ends)]
+        ids = np.array(self.bare.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
+        spans = np.cumsum(self.sizes[ids])
+        last = np.searchsorted(spans, until)
+        if not len(ids) or spans[-1] != until[-1] or (spans[last] != until).any():
+            return [self._encode(piece) for piece in pieces]  # bytes without a token
+        whole, ends = ids.astype(self.kind).tobytes(), ((last + 1) * self.width).tolist()
+        return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """``encode`` of every text; null is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return []
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        whole = memoryview(data or b"")[offsets[0] : offsets[-1]]
+        offsets, data = offsets - offsets[0], np.frombuffer(whole, np.uint8)
+        plain = plain_texts(data, offsets)
+        if self.split is not None:
+            plain[np.searchsorted(offsets, [m.start() for m in self.split_bytes.finditer(whole)], "right") - 1] = False
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = self.encode(texts[i].as_py())
+        sizes = np.diff(offsets)
+        if not plain.all():
+            data, sizes = data[np.repeat(plain, sizes)], sizes[plain]
+            offsets = np.append(0, np.cumsum(sizes))
+        starts = piece_starts(data, offsets)
+        if len(starts):
+            bounds = np.append(starts, len(data))
+            found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+            coded = pa.array(self.of_piece.many(found.dictionary.to_pylist(), self._encode_all), pa.large_binary()).take(found.indices)
+            ends = np.frombuffer(coded.buffers()[1], np.int64)
+            ids, ends = coded.buffers()[2].to_pybytes(), ends[np.searchsorted(bounds, offsets)].tolist()
+            for i, a, b in zip(np.flatnonzero(plain).tolist(), ends, ends[1:]):
+                out[i] = ids[a:b]
+        return out
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as bytes."""
         of = self.of_piece.__getitem__
@@ -176,9 +231,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: in
         end, width = np.array([end_id], encoder.kind).tobytes(), encoder.width
         names = ["kind", "name", "data", "n_ids", "doc_id"]
         kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        for batch in batches:
+        for batch in together(batches, GROUP_BYTES):
             rows, seen = [], set()
-            streams = [encoder.encode(value or "") + end for value in batch.column(1).to_pylist()]
+            streams = [ids + end for ids in encoder.encode_all(batch.column(1))]
             whole = b"".join(streams)
             allowed = marks(np.frombuffer(whole, encoder.kind))
             start = 0
