@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_folder, small_batches, together
+from .common import frugal, new_folder, small_batches, together
 from .pretokens import Memo, piece_starts, pieces, plain_texts
 from .token_counts import byte_alphabet
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
 MOST_PIECES = 600_000
 #: Bytes of rows encoded at once, or those of one Arrow batch.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Ids that the rolling hash sees; shortest, usual and longest chunk in ids.
 REACH, SHORTEST, USUAL, LONGEST = 16, 64, 256, 1024
 BLOCK = 1024
@@ -254,7 +254,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: in
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    found = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "kind string, name binary, data binary, n_ids bigint, doc_id bigint")
+    found = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(frugal(run), "kind string, name binary, data binary, n_ids bigint, doc_id bigint")
     once = found.groupBy("kind", "name").agg(F.first("data").alias("data"), F.first("n_ids").alias("n_ids"), F.first("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/objects")
 
